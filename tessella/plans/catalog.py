@@ -1,0 +1,4 @@
+"""The queries over the reference's operators, with the SQL that checks them."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
