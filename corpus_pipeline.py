@@ -5,26 +5,50 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import packing, quality_rules
 from tessella.llm._common import fresh_path, table
+from tessella.llm.line_dedup import line_dedup
+from tessella.llm.mixing import mixed
+from tessella.llm.packing import packed
+from tessella.llm.quality_rules import accepted
+from tessella.llm.simhash import one_of_each
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass their own rules and whose host isn't rejected."""
-    return quality_rules.accepted(docs).select(*docs.columns)
+    return accepted(docs).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without runs of text that occur earlier; n_chars follows the text. A whole repeat is left empty."""
+    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return one_of_each(docs).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document at least once; documents of small sources again, as the target weights want."""
+    return mixed(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(docs)
+    """A row for each piece of at most 1024 tokens, with its sequence and offset."""
+    return packed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
+    ("line dedup", dedup_stage),
+    ("SimHash near-dedup", near_dedup_stage),
+    ("mixing sources to target weights", mixing_stage),
     ("best-fit packing", packing_stage),
 ]
 
-#: Token ids are not expressible in SQL; tests/llm checks the stages against brute force.
+#: Unit hashes, fingerprints and token ids are not expressible in SQL; tests/llm checks the stages against brute force.
 ORACLE_SQL: str | None = None
 
 

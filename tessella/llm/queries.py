@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
-from tessella.llm._common import table
+from pyspark.sql import DataFrame, SparkSession
+
+from tessella.llm._common import durable, n_words_of, table, whole_text
 from tessella.llm.binary_ids import binary_ids
+from tessella.llm.line_dedup import line_dedup
+from tessella.llm.lm_scores import lm_scores
 from tessella.llm.media_columns import media_columns
+from tessella.llm.mixing import mixed
 from tessella.llm.packing import packed
 from tessella.llm.quality_rules import quality_rules
 from tessella.llm.secret_scan import secret_digest
+from tessella.llm.simhash import simhash_groups
 from tessella.llm.token_counts import token_counts
 
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words_of(whole_text()).alias("n_tokens"))
+    return mixed(durable(docs), tokens_col="n_tokens").select("doc_id", "source", "n_tokens", "mix.weight", "mix.epochs", "mix.pass", "mix.block", "mix.place")
+
+
 QUERIES = {
     "op1_quality_rules": lambda spark, sf_dir: quality_rules(table(spark, sf_dir, "documents")),
     "op2_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
     "op3_secret_scans": lambda spark, sf_dir: secret_digest(table(spark, sf_dir, "documents")),
+    "op4_lm_scores": lambda spark, sf_dir: lm_scores(table(spark, sf_dir, "documents")),
+    "op5_line_dedup": lambda spark, sf_dir: line_dedup(table(spark, sf_dir, "documents"), with_counts=True).select("doc_id", "text", "n_removed", "n_removed_words"),
     "op6_best_fit_packing": lambda spark, sf_dir: packed(table(spark, sf_dir, "documents")),
+    "op7_simhash": lambda spark, sf_dir: simhash_groups(table(spark, sf_dir, "documents")),
     "op8_binary_ids": lambda spark, sf_dir: binary_ids(table(spark, sf_dir, "documents")),
     "op9_media_columns": lambda spark, sf_dir: media_columns(table(spark, sf_dir, "documents")),
+    "op10_source_mixing": _mixed,
 }
 
 ORACLE_SQL: dict[str, str] = {}
