@@ -6,12 +6,14 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import chunks, durable
+from tessella.llm._common import durable
 
 #: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
 CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
@@ -93,90 +95,225 @@ def second_key(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nd
     return content(hashes * np.uint64(0xD6E8FEB86659FD93) ^ (hashes >> np.uint64(32)), first, last)
 
 
-def _told(marks: np.ndarray) -> np.ndarray:
-    """A text's marks, each once; those at several places twice, so that a count of rows shows what recurs in a single text too."""
-    own, times = np.unique(marks, return_counts=True)
-    return np.concatenate([own, own[times > 1]]).view(np.int64)
-
-
-def _rows(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
-    """For each text: who it is, its unit hashes and words, and the hashes of its anchors."""
-    for batch in chunks(batches, 4 << 20):
-        hashes, words, n = measured([t.encode() for t in batch.column(1).to_pylist()])
-        first, last = windows(words, n, min_words)
-        at = np.unique(anchors(hashes, first, last)) if len(first) else first
-        ends = np.cumsum(n)
-        cut = np.searchsorted(at, ends)
-        marks = [_told(x) for x in np.split(hashes[at], cut[:-1])] if len(n) else []
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in marks])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(marks) if marks else np.zeros(0, np.int64)))
-        sides = [(hashes[e - k : e].tobytes(), words[e - k : e].astype("<u4").tobytes()) for e, k in zip(ends.tolist(), n.tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s[0] for s in sides], pa.binary()), pa.array([s[1] for s in sides], pa.binary()), lists], ["id", "th", "hashes", "words", "marks"])
-
-
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Where a run lies; places are ordered by these, in this order (a null id is the least).
+PLACE = np.dtype([("known", "u1"), ("id", "<i8"), ("th", "<i8"), ("first", "<i4"), ("last", "<i4")])
+BLOCK_BYTES = 8 << 20
+#: Entries of all blocks that one part of a key space has about.
+PART_ROWS = 1 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about so many bytes of text: for each text who it is and how many units it has, and all units' hashes and words."""
+    press = zstandard.ZstdCompressor(level=1)
+    ids: list[int | None] = []
+    raws: list[bytes] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal held
+        hashes, words, n = measured(raws)
+        who = np.zeros(len(ids), PLACE)
+        who["known"] = [i is not None for i in ids]
+        who["id"] = [i or 0 for i in ids]
+        who["th"] = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], np.uint64).view(np.int64)
+        got = {"who": who.tobytes(), "n": n.astype("<u4").tobytes(), "hashes": hashes.tobytes(), "words": press.compress(words.astype("<u4").tobytes()), "units": len(hashes)}
+        ids.clear()
+        raws.clear()
+        held = 0
+        return pa.RecordBatch.from_pylist([got])
+
+    for batch in batches:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids.append(i)
+            raws.append(text.as_py().encode())
+            held += len(raws[-1]) + 64
+            if held >= most_bytes:
+                yield out()
+    if ids:
+        yield out()
+
+
+class Windows:
+    """The windows of a block: their first and last unit in the block, the text they are in, their anchors' hashes."""
+
+    def __init__(self, row: dict, min_words: int):
+        self.who = np.frombuffer(row["who"], PLACE)
+        self.hashes = np.frombuffer(row["hashes"], np.uint64)
+        n = np.frombuffer(row["n"], "<u4").astype(np.int64)
+        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), "<u4").astype(np.int64)
+        self.first, self.last = windows(words, n, min_words)
+        self.owner = np.searchsorted(np.cumsum(n), self.first, side="right")
+        self.base = np.cumsum(n) - n
+        self.at = anchors(self.hashes, self.first, self.last)
+        self.marks = self.hashes[self.at]
+
+    def marked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct anchor hashes, and whether they are anchors at several places."""
+        found, times = np.unique(self.hashes[np.unique(self.at)], return_counts=True)
+        return found, times > 1
+
+    def near(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, second key, place) of the windows with one of these anchors, sorted by key, then by place."""
+        own, _ = self.marked()
+        keep = again[np.searchsorted(own, self.marks)]
+        first, last, owner = self.first[keep], self.last[keep], self.owner[keep]
+        place = self.who[owner]
+        place["first"], place["last"] = first - self.base[owner], last - self.base[owner]
+        key, key2 = content(self.hashes, first, last), second_key(self.hashes, first, last)
+        order = _order(key, key2, place)
+        return key[order], key2[order], place[order]
+
+
+def _order(key: np.ndarray, key2: np.ndarray, place: np.ndarray) -> np.ndarray:
+    return np.lexsort((place["last"], place["first"], place["th"], place["id"], place["known"], key2, key))
+
+
+def _starts(key: np.ndarray, key2: np.ndarray) -> np.ndarray:
+    """Where a new key begins, in sorted keys."""
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
+    return np.flatnonzero(new)
+
+
+def _parts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the sorted keys by their highest bits, without empty ones."""
+    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+    return [(p, a, b) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if b > a]
+
+
+def _recurring(parts: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the anchors: for each block, which of those it named are at another place too."""
+    marks = [np.frombuffer(x, np.uint64) for x in parts["marks"]]
+    several = np.concatenate([np.frombuffer(x, np.uint8) for x in parts["several"]])
+    _, back, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+    again = times > 1
+    again[back[several > 0]] = True
+    cut = np.cumsum([len(m) for m in marks])[:-1]
+    return pd.DataFrame({"block": parts["block"], "part": parts["part"], "again": [np.packbits(x).tobytes() for x in np.split(again[back], cut)], "size": [len(m) for m in marks]})
+
+
+def _origins(parts: pd.DataFrame) -> pd.DataFrame:
+    """Of one part of the windows: for each block, which of those it named recur (numbers in the part), and their first places."""
+    keys = [np.frombuffer(x, np.uint64) for x in parts["keys"]]
+    key, key2 = np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint64) for x in parts["keys2"]])
+    place = np.concatenate([np.frombuffer(x, PLACE) for x in parts["places"]])
+    times = np.concatenate([np.frombuffer(x, "<u4") for x in parts["times"]]).astype(np.int64)
+    order = _order(key, key2, place)
+    starts = _starts(key[order], key2[order])
+    group = np.empty(len(key), np.int64)
+    group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+    total = np.bincount(group, weights=times, minlength=len(starts)) if len(key) else times
+    first = place[order][starts]
+    out, done = [], 0
+    for block, part, mine in zip(parts["block"], parts["part"], keys):
+        g = group[done : done + len(mine)]
+        hit = np.flatnonzero(total[g] > 1)
+        if len(hit):
+            out.append((block, part, hit.astype("<u4").tobytes(), first[g[hit]].tobytes()))
+        done += len(mine)
+    return pd.DataFrame(out, columns=["block", "part", "hits", "places"])
+
+
+def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, th, ranges): for each text with something to delete, the ranges (first and last unit) of its runs that occur earlier.
 
     A run is a sequence of units of min_words or more; earlier means a smaller (id, hash of the text), or the same text further
-    up and not overlapping. th tells apart rows that share an id; identical rows are one text here."""
+    up and not overlapping. th tells apart rows that share an id; identical rows are one text here.
+
+    Blocks of texts name each anchor, and later each window around a recurring anchor, once to the part of the key space that it
+    is in, and get an answer: however often a passage occurs, a part hears of it once from each block."""
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    text = text.withColumn("th", F.xxhash64("t"))
-    rows = durable(text.mapInArrow(lambda b: _rows(b, min_words), "id long, th long, hashes binary, words binary, marks array<long>"))
-    # 1. Fingerprints: anchors that occur in several texts, or in a text that repeats itself.
-    marked = rows.select("id", "th", F.explode("marks").alias("mark"))
-    again = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    found = marked.join(again, "mark").groupBy("id", "th").agg(F.collect_set("mark").alias("found"))  # at most the marks of a text
-    found = found.withColumnsRenamed({"id": "fid", "th": "fth"})
-    asked = rows.join(found, F.col("id").eqNullSafe(F.col("fid")) & (F.col("th") == F.col("fth")))
-
-    # 2. The windows around them, by content.
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 512):
-                batch = whole.slice(i, 512)
-                ids, ths, hs, ws, marks = (c.to_pylist() for c in batch.columns)
-                n = np.array([len(x) // 8 for x in hs], np.int64)
-                hashes, words = np.frombuffer(b"".join(hs), np.uint64), np.frombuffer(b"".join(ws), "<u4").astype(np.int64)
-                if not len(hashes):
-                    continue
-                first, last = windows(words, n, min_words)
-                if not len(first):
-                    continue
-                anchor = hashes[anchors(hashes, first, last)].view(np.int64)
-                owner = np.searchsorted(np.cumsum(n), first, side="right")
-                keys, more = content(hashes, first, last), second_key(hashes, first, last)
-                wanted = np.zeros(len(first), bool)
-                edges = np.searchsorted(owner, np.arange(len(n) + 1))
-                for d, m in enumerate(marks):
-                    a, b = edges[d], edges[d + 1]
-                    wanted[a:b] = np.isin(anchor[a:b], np.array(m, np.int64))
-                first, last, owner, keys, more = (x[wanted] for x in (first, last, owner, keys, more))
-                base = (np.cumsum(n) - n)[owner]
-                who = pa.array(owner)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(more.view(np.int64)), batch.column(0).take(who), batch.column(1).take(who), pa.array((first - base).astype(np.int32)), pa.array((last - base).astype(np.int32))],
-                    ["key", "key2", "id", "th", "first", "last"],
-                )
-
-    near = asked.select("id", "th", "hashes", "words", "found").mapInArrow(spread, "key long, key2 long, id long, th long, first int, last int")
-    near = durable(near)
-    # 3. The first place of each; every other is a repeat.
-    place = F.struct("id", "th", "first", "last")
-    origin = near.groupBy("key", "key2").agg(F.min(place).alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = near.join(origin, ["key", "key2"]).where(place > F.col("o"))
-    here = F.col("id").eqNullSafe(F.col("o.id")) & (F.col("th") == F.col("o.th"))
-    later = later.withColumn("first", F.when(here, F.greatest(F.col("first"), F.col("o.last") + 1)).otherwise(F.col("first"))).where("first <= last")
-    return later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("ranges"))
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False) -> DataFrame:
+    kind = "who binary, n binary, hashes binary, words binary, units long"
+    blocks = durable(text.mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
+    bits = max(3, int((blocks.agg(F.sum("units")).first()[0] or 1) / PART_ROWS).bit_length())
+
+    # 1. Fingerprints: the anchors. Which of them are at several places?
+    def ask_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                marks, several = Windows(row, min_words).marked()
+                found = [{"block": row["block"], "part": p, "marks": marks[a:b].tobytes(), "several": several[a:b].astype(np.uint8).tobytes()} for p, a, b in _parts(marks, bits)]
+                if found:
+                    yield pa.RecordBatch.from_pylist(found)
+
+    asked = blocks.mapInArrow(ask_marks, "block long, part long, marks binary, several binary")
+    again = asked.groupBy("part").applyInPandas(_recurring, "block long, part long, again binary, size long")
+
+    # 2. The windows around those, by content: their first places.
+    def told(marks: pd.DataFrame) -> np.ndarray:
+        rows = marks.sort_values("part")
+        bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(rows["again"], rows["size"])]
+        return np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
+
+    def ask_windows(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        row = block_rows.iloc[0].to_dict()
+        names = ["block", "part", "keys", "keys2", "places", "times", "again"]
+        flags = told(marks)
+        key, key2, place = Windows(row, min_words).near(flags) if flags.any() else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, PLACE),)
+        starts = _starts(key, key2) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(starts, len(key))).astype("<u4")
+        key, key2, place = key[starts], key2[starts], place[starts]
+        found = [(row["block"], p, key[a:b].tobytes(), key2[a:b].tobytes(), place[a:b].tobytes(), times[a:b].tobytes(), None) for p, a, b in _parts(key, bits)]
+        # For the block itself, which windows it named.
+        return pd.DataFrame([*found, (row["block"], -1, None, None, None, None, np.packbits(flags).tobytes())], columns=names)
+
+    near = durable(blocks.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(ask_windows, "block long, part long, keys binary, keys2 binary, places binary, times binary, again binary"))
+    origins = near.where("part >= 0").select("block", "part", "keys", "keys2", "places", "times").groupBy("part").applyInPandas(_origins, "block long, part long, hits binary, places binary")
+    answers = origins.unionByName(near.where("part < 0").select("block", "part", F.col("again").alias("hits"), F.lit(None).cast("binary").alias("places")))
+
+    # 3. Every other place is a repeat.
+    def later(block_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"id": pd.array([], "Int64"), "th": np.zeros(0, np.int64), "ranges": pd.Series([], dtype=object)})
+        rows = rows.sort_values("part")
+        if len(rows) < 2:
+            return empty
+        w = Windows(block_rows.iloc[0].to_dict(), min_words)
+        flags = np.unpackbits(np.frombuffer(rows["hits"].iloc[0], np.uint8)).astype(bool)
+        key, key2, place = w.near(flags)
+        starts = _starts(key, key2)
+        from_part = {p: a for p, a, _ in _parts(key[starts], bits)}
+        which = np.concatenate([from_part[p] + np.frombuffer(x, "<u4").astype(np.int64) for p, x in zip(rows["part"].iloc[1:], rows["hits"].iloc[1:])])
+        origin = np.concatenate([np.frombuffer(x, PLACE) for x in rows["places"].iloc[1:]])
+        sizes = np.diff(np.append(starts, len(key)))
+        of = np.full(len(starts), -1, np.int64)
+        of[which] = np.arange(len(which))
+        of = np.repeat(of, sizes)
+        place, origin = place[of >= 0], origin[of[of >= 0]]
+        same_text = (place["known"] == origin["known"]) & (place["id"] == origin["id"]) & (place["th"] == origin["th"])
+        first = np.where(same_text, np.maximum(place["first"], origin["last"] + 1), place["first"])
+        gone = (place != origin) & (first <= place["last"])
+        place, first = place[gone], first[gone]
+        if not len(place):
+            return empty
+        order = np.lexsort((first, place["th"], place["id"], place["known"]))
+        place, first = place[order], first[order]
+        out = []
+        edges = np.flatnonzero(np.append(True, (place["id"][1:] != place["id"][:-1]) | (place["th"][1:] != place["th"][:-1]) | (place["known"][1:] != place["known"][:-1])))
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(place)]):
+            ranges: list[list[int]] = []
+            for x, y in zip(first[a:b].tolist(), place["last"][a:b].tolist()):
+                if ranges and x <= ranges[-1][1] + 1:
+                    ranges[-1][1] = max(ranges[-1][1], y)
+                else:
+                    ranges.append([x, y])
+            out.append((int(place["id"][a]) if place["known"][a] else None, int(place["th"][a]), [x for r in ranges for x in r]))
+        return pd.DataFrame({"id": pd.array([r[0] for r in out], "Int64"), "th": [r[1] for r in out], "ranges": [r[2] for r in out]})
+
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(later, "id long, th long, ranges array<int>")
+    return found.groupBy("id", "th").agg(F.first("ranges").alias("ranges"))  # identical rows in several blocks say the same
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input rows with their columns; the text without the runs that occur earlier. with_counts adds n_removed (units) and n_removed_words.
 
     Every row stays: a text that occurs earlier as a whole becomes empty. Null texts stay null. Rows that share an id are ordered by
     a hash of their text; identical rows keep the same text. An empty table gives no rows."""
-    ranges = durable(repeated_units(docs, min_words, id_col, text_col).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges")))
+    ranges = durable(repeated_units(docs, min_words, id_col, text_col, block_bytes).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges")))
+    # The texts move to the ranges only if these are too many to go to the texts.
+    size = ranges.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("__ranges")).alias("n")).first()
+    few = size["rows"] <= 200_000 and (size["n"] or 0) <= 2_000_000
     hit = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))
-    joined = docs.join(ranges, hit, "left").drop("__id", "__th")
+    joined = docs.join(F.broadcast(ranges) if few else ranges, hit, "left").drop("__id", "__th")
     own = list(docs.columns)
     place = own.index(text_col)
 
@@ -187,13 +324,14 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
             if ranges.null_count < batch.num_rows:
                 out = texts.to_pylist()
                 for i in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    parts = units(out[i].encode())
-                    keep = np.ones(len(parts), bool)
-                    for r in ranges[i].as_py():
-                        keep[r["first"] : r["last"] + 1] = False
-                    dropped = [p for p, k in zip(parts, keep) if not k]
-                    gone[i], lost[i] = len(dropped), sum(len(p.split()) for p in dropped)
-                    out[i] = b"".join(p for p, k in zip(parts, keep) if k).decode()
+                    parts, kept, at = units(out[i].encode()), [], 0
+                    r = ranges[i].as_py()
+                    for first, last in zip(r[::2], r[1::2]):
+                        kept += parts[at:first]
+                        gone[i] += last + 1 - first
+                        lost[i] += sum(len(p.split()) for p in parts[first : last + 1])
+                        at = last + 1
+                    out[i] = b"".join(kept + parts[at:]).decode()
                 texts = pa.array(out, texts.type)
             columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -1]]
             names = own
