@@ -51,8 +51,8 @@ class Block:
             yield n, ends, distinct, back
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ids, n_words, vocabulary, places), each of about BLOCK_BYTES of text: a block never cuts a document."""
+def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (ids, n_words, vocabulary, places), each of about so many bytes of text: a block never cuts a document."""
     press = zstandard.ZstdCompressor(level=1)
     digest = xxhash.xxh64_intdigest
     known: dict[bytes, int] = {}
@@ -82,14 +82,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             raw = text.as_py().encode()
             words = raw.split()  # bytes.split knows ASCII white space only, as is wanted
-            for w in set(words) - known.keys():
-                known[w] = len(hashes)
-                hashes.append(digest(w))
+            for w in set(words):
+                if w not in known:
+                    known[w] = len(hashes)
+                    hashes.append(digest(w))
             places.append(np.fromiter(map(known.__getitem__, words), np.uint32, len(words)))
             ids.append(doc)
             counts.append(len(words))
             held += len(raw) + 64
-            if held >= BLOCK_BYTES:
+            if held >= most_bytes:
                 yield out()
     if ids:
         yield out()
@@ -135,7 +136,7 @@ def _scored(block: Block, tables: dict[int, np.ndarray], order: int, total: int,
     return np.rint(score * MICRO).astype(np.int64), backed
 
 
-def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each input row: doc_id, n_words, n_backed_off (words whose longest n-gram isn't in the table), score_micro.
 
     score_micro sums, in millionths of a nat and each word's rounded, the log of the stupid-backoff score: count of the n-gram over
@@ -146,7 +147,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
     often they occur in it, and gets the counts back. Null and empty texts have no words and score 0, repeated rows count each
     time, an empty table gives no rows, other columns are ignored."""
     kind = "ids array<long>, n_words binary, vocabulary binary, places binary, total long"
-    blocks = durable(id_and_text(docs, id_col, text_col).mapInArrow(_blocks, kind).withColumn("block", F.monotonically_increasing_id()))
+    blocks = durable(id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
     size = blocks.agg(F.sum(F.length("vocabulary") / 8).alias("v"), F.sum("total").alias("w")).first()
     bits = max(3, int(4 * (size["v"] or 1) / PART_ROWS).bit_length())  # a block's n-grams are some times its vocabulary
 
