@@ -80,7 +80,8 @@ def target_weights(sources: DataFrame, alpha: float, budget: float | None = None
 
 
 def _draw(*parts: Column) -> Column:
-    return F.xxhash64(F.lit(SEED), *parts)
+    """A fixed random text for the parts; its order is the drawn order."""
+    return F.md5(F.concat_ws(":", F.lit(str(SEED)), *[p.cast("string") for p in parts]))
 
 
 def mixed(
@@ -108,7 +109,7 @@ def mixed(
     plan = durable(plan)
 
     def deal(rows: DataFrame) -> DataFrame:
-        return rows.join(sized(plan, 50_000), F.col("src").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(_draw(F.col("id")), F.col("n_blocks")))
+        return rows.join(sized(plan, 50_000), F.col("src").eqNullSafe(F.col("s"))).withColumn("block", F.pmod(F.conv(F.substring(_draw(F.col("id")), 1, 8), 16, 10).cast("long"), F.col("n_blocks")))
 
     by_block = durable(deal(narrow).groupBy("s", "block").agg(F.sum("n").alias("size"), F.first("tokens").alias("tokens"), F.first("epochs").alias("epochs")))
     # A pass's quota, and what of it each block gets.
