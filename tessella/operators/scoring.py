@@ -21,7 +21,7 @@ def cells(rows: DataFrame, fields: dict[str, tuple[str, str]] = FIELDS, threshol
         F.struct(F.lit(i).alias("pos"), F.lit(key).alias("field"), of(truth, key).alias("truth"), of(pred, app).alias("found"), field_similarity(kind, of(truth, key), of(pred, app)).alias("sim"))
         for i, (key, (app, kind)) in enumerate(fields.items())
     ]
-    out = rows.select(*keep, F.explode(F.array(*each)).alias("c")).select(*keep, "c.*").where("sim is not null")
+    out = rows.select(*keep, F.explode(F.array(*each)).alias("c")).select(*[k.split(".")[-1] for k in keep], "c.*").where("sim is not null")
     return out.withColumn("hit", F.col("sim") >= threshold)
 
 
