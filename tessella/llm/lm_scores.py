@@ -18,7 +18,7 @@ ALPHA = 0.4
 ORDER = 2
 #: An n-gram of two or more words is in the table from so many occurrences.
 MIN_COUNT = 2
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 #: Distinct n-grams of a block times blocks that one part of a count table has about.
 PART_ROWS = 1 << 20
 MICRO = 1_000_000
@@ -31,6 +31,26 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Integers as compressed bytes, all lowest ones first, then all second ones: the high ones are mostly alike."""
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(raw.tobytes())
+
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _planes(np.diff(x, prepend=np.uint64(0)))
+
+
+def _unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
+
+
 class Block:
     """The words of some documents as places in the block's vocabulary of word hashes."""
 
@@ -53,7 +73,6 @@ class Block:
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
     """Rows (ids, n_words, vocabulary, places), each of about so many bytes of text: a block never cuts a document."""
-    press = zstandard.ZstdCompressor(level=1)
     digest = xxhash.xxh64_intdigest
     known: dict[bytes, int] = {}
     hashes: list[int] = []
@@ -70,8 +89,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
         rank[order] = np.arange(len(h), dtype=np.uint32)
         at = rank[np.concatenate(places)]
         got = pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), pa.array([h[order].tobytes()], pa.binary()), pa.array([press.compress(at.astype("<u4").tobytes())], pa.binary()), pa.array([len(at)], pa.int64())],
-            ["ids", "n_words", "vocabulary", "places", "total"],
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), pa.array([_pack_sorted(h[order])], pa.binary()), pa.array([_planes(at.astype("<u4"))], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([len(h)], pa.int64())],
+            ["ids", "n_words", "vocabulary", "places", "total", "distinct"],
         )
         for x in (known, hashes, ids, counts, places):
             x.clear()
@@ -97,22 +116,20 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
 
 
 def _open(row: dict) -> Block:
-    places = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["places"]), "<u4")
-    return Block(np.frombuffer(row["vocabulary"], np.uint64), places, np.frombuffer(row["n_words"], "<u4").astype(np.int64))
+    return Block(_unpack_sorted(row["vocabulary"]), _from_planes(row["places"], "<u4"), np.frombuffer(row["n_words"], "<u4").astype(np.int64))
 
 
 def _summed(parts: pd.DataFrame, min_count: int) -> pd.DataFrame:
     """One part of a count table: what each block asked for, answered with the counts over all blocks (0 below min_count)."""
-    hashes = [np.frombuffer(x, np.uint64) for x in parts["hashes"]]
-    counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in parts["counts"]]
+    hashes = [_unpack_sorted(x) for x in parts["hashes"]]
+    counts = [_from_planes(x, "<u4").astype(np.int64) for x in parts["counts"]]
     distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.zeros(len(distinct), np.int64)
     np.add.at(total, back, np.concatenate(counts))
     if parts["n"].iloc[0] > 1:
         total[total < min_count] = 0
-    press = zstandard.ZstdCompressor(level=1)
     cut = np.cumsum([len(h) for h in hashes])[:-1]
-    answers = [press.compress(x.astype("<i8").tobytes()) for x in np.split(total[back], cut)]
+    answers = [_planes(x) for x in np.split(total[back], cut)]
     return pd.DataFrame({"block": parts["block"], "n": parts["n"], "part": parts["part"], "counts": answers})
 
 
@@ -146,9 +163,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
     Each task turns its texts into blocks; a block asks each part of the count tables for its distinct n-grams once, however
     often they occur in it, and gets the counts back. Null and empty texts have no words and score 0, repeated rows count each
     time, an empty table gives no rows, other columns are ignored."""
-    kind = "ids array<long>, n_words binary, vocabulary binary, places binary, total long"
+    kind = "ids array<long>, n_words binary, vocabulary binary, places binary, total long, distinct long"
     blocks = durable(id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
-    size = blocks.agg(F.sum(F.length("vocabulary") / 8).alias("v"), F.sum("total").alias("w")).first()
+    size = blocks.agg(F.sum("distinct").alias("v"), F.sum("total").alias("w")).first()
     bits = max(3, int(4 * (size["v"] or 1) / PART_ROWS).bit_length())  # a block's n-grams are some times its vocabulary
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +175,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
                 for n, _, distinct, back in block.grams(order):
                     counts = np.bincount(back, minlength=len(distinct)).astype("<u4")
                     edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                    parts = [(p, distinct[a:b].tobytes(), counts[a:b].tobytes()) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+                    parts = [(p, _pack_sorted(distinct[a:b]), _planes(counts[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
                     if parts:
                         part, hashes, counted = zip(*parts)
                         yield pa.RecordBatch.from_arrays(
@@ -172,10 +189,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
 
     def score(block_rows: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         row = block_rows.iloc[0].to_dict()
-        block, unpack = _open(row), zstandard.ZstdDecompressor()
+        block = _open(row)
         found = {n: np.zeros(0, np.int64) for n in range(1, order + 1)}
         for n, mine in tables.sort_values(["n", "part"]).groupby("n"):
-            found[n] = np.concatenate([np.frombuffer(unpack.decompress(x), "<i8") for x in mine["counts"]])
+            found[n] = np.concatenate([_from_planes(x, "<i8") for x in mine["counts"]])
         micro, backed = _scored(block, found, order, total, alpha)
         ends = np.cumsum(block.n_words)
         starts = ends - block.n_words
