@@ -56,8 +56,20 @@ def n_words_of(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
+#: Bytes of an Arrow batch on its way to a task's Python. Spark's own 64 MB, for each task and in several copies, is much for texts.
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets the session's batches to BATCH_BYTES unless it has chosen a size itself."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB", str(64 << 20)):
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Exactly two columns, whatever else the input has."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
 
@@ -84,3 +96,11 @@ def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """df, marked for broadcast only if it is counted to hold at most so many rows; else Spark joins it by shuffle. For narrow durable frames."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column is called so."""
+    held = {t.lower() for t in taken}
+    while name.lower() in held:
+        name += "_"
+    return name

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -21,15 +22,25 @@ class Ids:
 
     def __init__(self, json_path: str, ranks_path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
-        self.special = tuple(t.content for t in self.slow.get_added_tokens_decoder().values())
+        with open(json_path, "rb") as f:
+            model = json.load(f)
+        self.special = tuple(t["content"] for t in model["added_tokens"])
+        self.size = max(*model["model"]["vocab"].values(), *(t["id"] for t in model["added_tokens"])) + 1
+        self.json_path = json_path
+
+    @cached_property
+    def slow(self):
+        """The library itself, loaded by the first text that needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.json_path)
+        found.no_truncation()
+        found.no_padding()
+        return found
 
     def ids(self, text: str) -> np.ndarray:
         if SETTLED.search(text) or any(s in text for s in self.special):

@@ -16,6 +16,9 @@ from tessella.llm._tokens import ids_of
 
 END = 2
 BLOCK_TOKENS = 1 << 20
+#: The columns of the two files: a block's documents lie one after another; control and data are its coded ranks.
+BLOCKS = "task long, block long, start long, doc_ids binary, null_ids binary, lengths binary, control binary, data binary"
+RANKS = "rank long, id long, n long"
 
 #: Of each control byte, the bytes of its four values (two bits each, the lowest first).
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -51,7 +54,7 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokenized(docs: DataFrame, id_col: str, text_col: str, vocabulary: str, end: int) -> DataFrame:
     """(doc_id, n, ids as compressed unsigned 16- or 32-bit), in ascending doc_id order over the partitions; kept."""
-    wide = np.uint16 if max(ids_of(vocabulary).slow.get_vocab_size(), end) < 1 << 16 else np.uint32
+    wide = np.uint16 if max(ids_of(vocabulary).size, end + 1) <= 1 << 16 else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text, press = ids_of(vocabulary).ids, zstandard.ZstdCompressor(level=1)
@@ -75,7 +78,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k", end:
     The ranks count every id of every document: one row for each id of the vocabulary reaches the driver, and one total for each task."""
     spark = docs.sparkSession
     rows = _tokenized(docs, id_col, text_col, vocabulary, end)
-    size = max(ids_of(vocabulary).slow.get_vocab_size(), end + 1)
+    size = max(ids_of(vocabulary).size, end + 1)
     wide = np.uint16 if size <= 1 << 16 else np.uint32
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k", end:
 
     counted = rows.select("ids").mapInArrow(tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     order = sorted(((-r["n"], r["id"]) for r in counted))
-    spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(order)] or [(0, end, 0)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
+    spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(order)] or [(0, end, 0)], RANKS).coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(size, np.uint32)
     rank[[i for _, i in order]] = np.arange(len(order), dtype=np.uint32)
     before, base = 0, {}
@@ -127,13 +130,12 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k", end:
         if ids_in:
             yield out()
 
-    kind = "task long, block long, start long, doc_ids binary, null_ids binary, lengths binary, control binary, data binary"
-    rows.select("doc_id", "task", "ids").mapInArrow(blocks, kind).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    rows.select("doc_id", "task", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """A row for each document of the files: doc_id, start, n_tokens, ids_crc32 (and ids, little-endian unsigned 32-bit)."""
-    table = spark.read.parquet(f"{path}/ranks").collect()  # one row for each id of the vocabulary
+    table = spark.read.schema(RANKS).parquet(f"{path}/ranks").collect()  # one row for each id of the vocabulary
     ids = np.zeros(max([r["rank"] for r in table], default=0) + 1, "<u4")
     for r in table:
         ids[r["rank"]] = r["id"]
@@ -154,7 +156,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
                     cols, names = [*cols, pa.array(raw, pa.binary())], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "null_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("start", "doc_ids", "null_ids", "lengths", "control", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def binary_ids(docs: DataFrame, path: str | None = None) -> DataFrame:

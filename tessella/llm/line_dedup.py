@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import durable
+from tessella.llm._common import durable, free_name, small_batches
 
 #: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
 CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
@@ -222,6 +222,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     Blocks of texts name each anchor, and later each window around a recurring anchor, once to the part of the key space that it
     is in, and get an answer: however often a passage occurs, a part hears of it once from each block."""
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     kind = "who binary, n binary, hashes binary, words binary, units long"
     blocks = durable(text.mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
@@ -316,6 +317,7 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     joined = docs.join(F.broadcast(ranges) if few else ranges, hit, "left").drop("__id", "__th")
     own = list(docs.columns)
     place = own.index(text_col)
+    more = [free_name(c, own) for c in ("n_removed", "n_removed_words")] if with_counts else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,10 +336,9 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
                     out[i] = b"".join(kept + parts[at:]).decode()
                 texts = pa.array(out, texts.type)
             columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -1]]
-            names = own
-            if with_counts:
-                columns, names = [*columns, pa.array(gone, pa.int64()), pa.array(lost, pa.int64())], [*own, "n_removed", "n_removed_words"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            if more:
+                columns += [pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*own, *more])
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + ", n_removed long, n_removed_words long" * with_counts
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", `{c}` long" for c in more)
     return joined.mapInArrow(cut, kinds)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessella.llm._common import durable, n_words_of, sized, whole_text
+from tessella.llm._common import durable, free_name, n_words_of, sized, whole_text
 
 #: No source is repeated more often than so many times.
 MOST_REPEATS = 1.25
@@ -88,7 +88,7 @@ def mixed(
     docs: DataFrame, most_repeats: float | None = MOST_REPEATS, entropy: float | None = None, budget: float | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tokens_col: str | None = None,
 ) -> DataFrame:
-    """The input rows with their columns, as often as the target weights want them, beside the struct mix:
+    """The input rows with their columns, as often as the target weights want them, beside the struct mix (mix_ where there is a mix already):
     source weight and epochs, pass (from 0), block, place of the block in the pass's permutation, and the row's tokens (those of
     tokens_col, or the words of its text).
 
@@ -130,5 +130,5 @@ def mixed(
     part = part.withColumn("used", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
     part = part.where(F.col("used") + F.col("n") <= F.col("turn.room")).select("row", info)
     out = full.unionByName(part)
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], "mix")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("mix").alias(free_name("mix", docs.columns)))
 
