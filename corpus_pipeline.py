@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm._common import fresh_path, table
+from tessella.llm._common import fresh_path, removed, table
 from tessella.llm.line_dedup import line_dedup
 from tessella.llm.mixing import mixed
 from tessella.llm.packing import packed
@@ -53,10 +53,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order; each result is written to the shared folder and read again, and goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = fresh_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs

@@ -104,3 +104,9 @@ def free_name(name: str, taken: list[str]) -> str:
     while name.lower() in held:
         name += "_"
     return name
+
+
+def removed(spark: SparkSession, path: str) -> bool:
+    """Deletes a folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

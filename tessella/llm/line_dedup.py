@@ -17,6 +17,9 @@ from tessella.llm._common import durable, free_name, small_batches
 
 #: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
 CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
+#: In a unit of more words than this, every word with such an ending ends a unit too, so that text without sentence ends is cut alike wherever it stands.
+LONG = 30
+LONG_CUT = re.compile(rb"\S*[dnsy0-9\x80-\x8f][ \t]+")
 #: A run has at least so many words. Below 50, so that a passage of over 50 words counts though its first unit may hang on other text.
 MIN_WORDS = 40
 
@@ -24,11 +27,18 @@ MIN_WORDS = 40
 def units(raw: bytes) -> list[bytes]:
     """The text in units, which joined give the text."""
     out, start = [], 0
-    for m in CUT.finditer(raw):
-        out.append(raw[start : m.end()])
-        start = m.end()
-    if start < len(raw):
-        out.append(raw[start:])
+    for end in [*(m.end() for m in CUT.finditer(raw)), len(raw)]:
+        if start < end:
+            unit = raw[start:end]
+            if unit.count(b" ") < LONG:
+                out.append(unit)
+            else:
+                at = 0
+                for cut in [*(m.end() for m in LONG_CUT.finditer(unit)), len(unit)]:
+                    if at < cut:
+                        out.append(unit[at:cut])
+                    at = cut
+        start = end
     return out
 
 

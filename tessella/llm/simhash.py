@@ -150,6 +150,7 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
         index.append(F.struct(F.lit(k).alias("k"), own.alias("v")))
         probes.append((k, own, flips))
     table = spark.createDataFrame([(k, flips) for k, _, flips in probes], "k int, flips array<long>")  # the plan: a few thousand numbers at most
+    fps = fps.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes a row, but each becomes dozens of probes
     held = fps.select(F.col("fp").alias("b"), F.explode(F.array(*index)).alias("x")).select("b", "x.k", "x.v")
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.array(*index)).alias("x")).select("a", "x.k", "x.v").join(F.broadcast(table), "k")
     asked = asked.select("a", "k", F.explode(F.transform("flips", lambda f: F.col("v").bitwiseXOR(f))).alias("v"))

@@ -119,6 +119,24 @@ def test_a_passage_glued_to_foreign_text_is_caught(docs_of):
     assert [inner in got[k] for k in range(6)] == [True] + [False] * 5
 
 
+def test_a_passage_in_text_without_sentences_is_caught(docs_of):
+    r = random.Random(10)
+    word = lambda n: " ".join(r.choice(VOCABULARY) + r.choice(["n", "d", "t", "r", "e"]) for _ in range(n))
+    passage = word(80)
+    given = {k: f"{word(60)} {passage} {word(60)}" for k in range(5)}
+    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs_of(list(given.items()))).collect()}
+    inner = " ".join(passage.split()[30:45])
+    assert [inner in got[k] for k in range(5)] == [True] + [False] * 4
+    assert all(got[k].split()[:50] == given[k].split()[:50] for k in range(5))
+
+
+def test_units_make_up_the_text():
+    r = random.Random(12)
+    for _ in range(200):
+        raw = "".join(r.choice(["a", "n ", ". ", "\n", "! ", "é", "word ", "  ", '." ', "\t"]) for _ in range(r.randint(0, 200))).encode()
+        assert b"".join(line_dedup.units(raw)) == raw
+
+
 def test_clean_documents_are_left_alone(docs_of):
     r = random.Random(8)
     given = {k: prose(r, 120) for k in range(40)}
