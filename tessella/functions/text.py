@@ -179,3 +179,8 @@ def cleaned(value: Column | str) -> Column:
     """A table's cell, trimmed; the usual ways to write nothing are null."""
     kept = trimmed(_text(value).cast("string"))
     return F.when((kept == "") | F.lower(kept).isin("nan", "null") | (kept == "N.V."), F.lit(None)).otherwise(kept)
+
+
+def plain_path(uri: Column) -> Column:
+    """A file's path as its name is, however the source that lists it writes URIs."""
+    return F.url_decode(F.replace(F.regexp_replace(uri, "^file:/+", "/"), F.lit("+"), F.lit("%2B")))

@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessella.functions.text import plain_path
 
 # ---- running a function of one row over Arrow batches -----------------------------------------------------------------
 
@@ -33,7 +36,7 @@ POINTS = "array<struct<x:double,y:double>>"
 # ---- EXIF -------------------------------------------------------------------------------------------------------------
 
 #: The tags that are read and how much of a file is looked at.
-SUB_IFD, GPS_IFD, TAKEN, CHANGED = 0x8769, 0x8825, 0x9003, 0x0132
+SUB_IFD, GPS_IFD, TAKEN, CHANGED, TURN = 0x8769, 0x8825, 0x9003, 0x0132, 0x0112
 HEAD_BYTES = 1 << 20
 
 
@@ -119,6 +122,44 @@ def exif_place(data: bytes) -> dict | None:
     return None
 
 
+def exif_turn(data: bytes) -> int:
+    """How the picture lies, 1 to 8; 1 is upright, also where nothing says so."""
+    for tiff in _blocks(data):
+        entry = tiff.directory(tiff.start + tiff.number(tiff.start + 4)).get(TURN)
+        if entry and 1 <= (turn := tiff.number(entry[1], "H")) <= 8:
+            return turn
+    return 1
+
+
+def upright(image: np.ndarray, turn: int) -> np.ndarray:
+    """The picture as it is meant to be seen: mirrored, turned over or on its side by the EXIF code."""
+    if turn in (5, 6, 7, 8):
+        image = image.transpose(1, 0, 2)
+    if turn in (2, 3, 6, 7):
+        image = image[:, ::-1]
+    if turn in (3, 4, 7, 8):
+        image = image[::-1]
+    return image
+
+
+def decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, width, height, data) of the pictures of a folder as upright RGBA; the JVM decodes, files that it can't are left out."""
+    read = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.*")
+    heads = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("origin"), F.substring("content", 1, HEAD_BYTES).alias("head"))
+    both = read.withColumn("origin", plain_path(F.col("origin"))).join(heads.withColumn("origin", plain_path(F.col("origin"))), "origin")
+
+    def turned(data, width, height, channels, head):
+        raw = np.frombuffer(data, np.uint8).reshape(height, width, channels)
+        rgb = raw[..., 2::-1] if channels >= 3 else np.repeat(raw[..., :1], 3, -1)
+        alpha = raw[..., 3:4] if channels == 4 else np.full((height, width, 1), 255, np.uint8)
+        out = upright(np.concatenate([rgb, alpha], -1), (_guarded(exif_turn)(head) or 1))
+        return {"width": out.shape[1], "height": out.shape[0], "data": np.ascontiguousarray(out).tobytes()}
+
+    kind = pa.struct([("width", pa.int32()), ("height", pa.int32()), ("data", pa.binary())])
+    out = per_row(both, ["data", "width", "height", "nChannels", "head"], "seen", "struct<width:int,height:int,data:binary>", turned, kind)
+    return out.select(F.substring_index("origin", "/", -1).alias("file"), "seen.*")
+
+
 def with_exif(files: DataFrame, content: str = "content") -> DataFrame:
     """files with taken (yyyy-mm-dd) and place (lat, lon)."""
     place = pa.struct([("lat", pa.float64()), ("lon", pa.float64())])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.text import plain_path
+
 #: The truth file's fields, and how other tables head the columns that feed them.
 TRUTH = T.StructType([T.StructField(f, T.StringType()) for f in ("file", "winery", "wine", "vintage", "region", "country", "appellation", "grapes", "source")])
 IMAGES = "*.{jpg,jpeg,png,webp,JPG,JPEG,PNG,WEBP}"
@@ -36,7 +38,7 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 def images(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """(file, content) of the image files of a folder, in order of their names. Without content only the listing is read."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", IMAGES).load(folder)
-    return df.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"), *(["content"] if with_content else [])).orderBy("file")
+    return df.select(F.substring_index(plain_path(F.col("path")), "/", -1).alias("file"), *(["content"] if with_content else [])).orderBy("file")
 
 
 def latest_name(names: DataFrame, column: str, prefix: str) -> DataFrame:

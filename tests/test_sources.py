@@ -33,9 +33,9 @@ def test_csv(spark, tmp_path):
 
 
 def test_images_and_latest(spark, tmp_path):
-    for name in ("b.JPG", "a.png", "c.txt", "d e.webp"):
+    for name in ("b.JPG", "a.png", "c.txt", "d e.webp", "f+g.png"):
         (tmp_path / name).write_bytes(b"x")
-    assert [r["file"] for r in sources.images(spark, str(tmp_path)).collect()] == ["a.png", "b.JPG", "d e.webp"]
+    assert [r["file"] for r in sources.images(spark, str(tmp_path)).collect()] == ["a.png", "b.JPG", "d e.webp", "f+g.png"]
     names = spark.createDataFrame([("run-2024-01-02.jsonl",), ("run-2024-10-01.jsonl",), ("run-x.jsonl",), ("other-2025-01-01",)], "n string")
     assert sources.latest_name(names, "n", "run-").first()["latest"] == "run-2024-10-01.jsonl"
 

@@ -148,3 +148,33 @@ def test_contrast():
     plane = np.linspace(50, 150, 1000).reshape(20, 50)
     out = vision.stretched(plane)
     assert out.min() == 0 and out.max() == 255
+
+
+def png(rgba):
+    import struct
+    import zlib
+
+    h, w = rgba.shape[:2]
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
+    raw = b"".join(b"\0" + rgba[y].tobytes() for y in range(h))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_decoding(spark, tmp_path):
+    image = np.random.default_rng(1).integers(0, 256, (3, 5, 4), dtype=np.uint8)
+    image[..., 3] = 255
+    (tmp_path / "a b.png").write_bytes(png(image))
+    (tmp_path / "bad.png").write_bytes(b"no picture")
+    got = vision.decoded(spark, str(tmp_path)).collect()
+    assert [(r["file"], r["width"], r["height"]) for r in got] == [("a b.png", 5, 3)]
+    assert (np.frombuffer(bytes(got[0]["data"]), np.uint8).reshape(3, 5, 4)[..., :3] == image[..., :3]).all()
+
+
+@pytest.mark.parametrize(
+    "turn, seen",
+    [(1, "abcdef"), (2, "badcfe"), (3, "fedcba"), (4, "efcdab"), (5, "acebdf"), (6, "ecafdb"), (7, "fdbeca"), (8, "bdface")],
+)
+def test_upright(turn, seen):
+    """Two columns and three rows, lettered in reading order."""
+    image = np.array(list("abcdef")).reshape(3, 2, 1)
+    assert "".join(vision.upright(image, turn).reshape(-1)) == seen
