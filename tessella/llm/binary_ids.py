@@ -84,8 +84,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "byte_bpe_50k", end:
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, n = zstandard.ZstdDecompressor(), np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                n += np.bincount(_ids(x, unpack, wide), minlength=size)
+            if batch.num_rows:
+                n += np.bincount(np.concatenate([np.frombuffer(unpack.decompress(x), wide) for x in batch.column(0).to_pylist()]), minlength=size)
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["id", "n"])
 
