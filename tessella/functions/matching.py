@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.text import constants
+
 
 def let(value: Column, use) -> Column:
     """use(value) with the value computed once, however often use names it: inside lambdas nothing else keeps it."""
@@ -47,7 +51,8 @@ def find_phrase(words: Column, needle: str, tolerance: int | None = None, withhe
 
 def phrase_table(phrases: list[str], tolerance=tolerance_of) -> Column:
     """Phrases as a literal array of structs (needle, k words, tol) for find_in."""
-    return F.array(*[F.struct(F.lit(p).alias("needle"), F.lit(p.count(" ") + 1).alias("k"), F.lit(tolerance(len(p))).alias("tol")) for p in phrases])
+    rows = [{"needle": p, "k": p.count(" ") + 1, "tol": tolerance(len(p))} for p in phrases]
+    return F.from_json(F.lit(json.dumps(rows)), "array<struct<needle:string,k:int,tol:int>>")
 
 
 def gram_sets(words: Column, most: int) -> Column:
@@ -73,7 +78,7 @@ def holds_any_word(squashed: Column, words: list[str], tolerance: int = 2) -> Co
 
 
 def _holds_any_word(squashed: Column, words: list[str], tolerance: int) -> Column:
-    table = F.array(*map(F.lit, words))
+    table = constants(words)
     spare = F.array(*map(F.lit, range(-tolerance, tolerance + 1)))
 
     def holds(word: Column) -> Column:

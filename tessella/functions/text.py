@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -44,6 +45,17 @@ def normalize(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9']+", " "))
 
 
+def normalized(text: str) -> str:
+    """normalize of a constant, on the driver."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", text) if not 0x300 <= ord(c) <= 0x36F)
+    return re.sub("[^a-z0-9']+", " ", plain.translate(dict.fromkeys(map(ord, "’`´"), "'")).lower()).strip()
+
+
+def constants(values) -> Column:
+    """An array of fixed texts, made in one call and folded to a literal by the optimizer."""
+    return F.split(F.lit("\x1f".join(dict.fromkeys(values))), "\x1f")
+
+
 def contains(normal: Column, needle: Column | str) -> Column:
     """Whether whole words of a normalised text are the needle's."""
     needle = F.lit(needle) if isinstance(needle, str) else needle

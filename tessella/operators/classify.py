@@ -6,16 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.matching import find_in, gram_sets, holds_any_word, let, phrase_table
-from tessella.functions.text import contains, leftover, normalize, trimmed, words
+from tessella.functions.text import constants, contains, leftover, normalize, trimmed, words
 from tessella.operators import lexicon as lex
 
 
 def any_pattern(text: Column, patterns: list[str]) -> Column:
-    return text.rlike("|".join(f"(?:{lex.pattern(p)})" for p in patterns))
-
-
-def _among(values: list[str]) -> Column:
-    return F.array(*map(F.lit, dict.fromkeys(values)))
+    """Whether one of the patterns matches. Those that begin at a word's edge begin with a word's character, so one look back serves them all."""
+    heads = [p[2:] for p in patterns if p.startswith("~b")]
+    rest = [p for p in patterns if not p.startswith("~b")]
+    parts = [f"(?<![A-Za-z0-9_])(?:{'|'.join(heads)})"] if heads else []
+    return text.rlike(lex.pattern("|".join([*parts, *(f"(?:{p})" for p in rest)])))
 
 
 def is_noise(text: Column, fuzzy: bool = True) -> Column:
@@ -36,7 +36,7 @@ def is_year(text: Column) -> Column:
 def is_descriptor(normal: Column) -> Column:
     """Every word describes a bottle."""
     w = words(normal)
-    return (F.size(w) > 0) & F.forall(w, lambda x: F.array_contains(_among(lex.DESCRIPTORS), x))
+    return (F.size(w) > 0) & F.forall(w, lambda x: F.array_contains(constants(lex.DESCRIPTORS), x))
 
 
 def is_marketing(text: Column) -> Column:
@@ -46,8 +46,8 @@ def is_marketing(text: Column) -> Column:
 def is_prose(normal: Column) -> Column:
     """A function word anywhere, "the" except in front, or eight words and more with two stop words."""
     w = words(normal)
-    telling = F.exists(F.transform(w, lambda x, i: F.array_contains(_among(lex.PROSE_WORDS), x) | ((x == "the") & (i > 0))), lambda x: x)
-    return telling | ((F.size(w) >= 8) & (F.size(F.filter(w, lambda x: F.array_contains(_among(lex.STOPWORDS), x))) >= 2))
+    telling = F.exists(F.transform(w, lambda x, i: F.array_contains(constants(lex.PROSE_WORDS), x) | ((x == "the") & (i > 0))), lambda x: x)
+    return telling | ((F.size(w) >= 8) & (F.size(F.filter(w, lambda x: F.array_contains(constants(lex.STOPWORDS), x))) >= 2))
 
 
 def is_junk(text: Column, confidence: Column) -> Column:
@@ -64,7 +64,7 @@ def opens_cuvee(text: Column) -> Column:
 def is_producer_tail(normal: Column) -> Column:
     """Only words that producers' names end with, and glue."""
     w, ends = words(normal), list(dict.fromkeys(x for s in lex.PRODUCER_SUFFIXES for x in s.split()))
-    return F.exists(w, lambda x: F.array_contains(_among(ends), x)) & F.forall(w, lambda x: F.array_contains(_among(ends + lex.TAIL_GLUE), x))
+    return F.exists(w, lambda x: F.array_contains(constants(ends), x)) & F.forall(w, lambda x: F.array_contains(constants(ends + lex.TAIL_GLUE), x))
 
 
 def looks_like_name(text: Column, confidence: Column, noise: Column | None = None) -> Column:
@@ -73,7 +73,7 @@ def looks_like_name(text: Column, confidence: Column, noise: Column | None = Non
 
     def judge(normal: Column, w: Column) -> Column:
         letters, figures = F.length(F.regexp_replace(normal, "[^a-z]", "")), F.length(F.regexp_replace(normal, "[^0-9]", ""))
-        stray = (F.size(w) == 1) & ((F.length(F.get(w, 0)) < 4) | F.get(w, 0).isin(lex.STRAY_WORDS))
+        stray = (F.size(w) == 1) & ((F.length(F.get(w, 0)) < 4) | F.array_contains(constants(lex.STRAY_WORDS), F.get(w, 0)))
         against = (normal == "") | ((sure != 0) & (sure < 65)) | (letters < 4) | (figures > letters) | stray | is_year(text) | is_descriptor(normal) | is_prose(normal) | is_marketing(text)
         return F.when(against, False).when(is_noise(text) if noise is None else noise, False).otherwise(F.exists(w, lambda x: F.length(x) >= 3))
 
@@ -97,7 +97,7 @@ def nearest_place(normal: Column, entries: Column) -> Column:
 
 def is_place_only(normal: Column, entries: Column) -> Column:
     """A place with at most one word beside it that isn't a descriptor."""
-    alone = lambda found: leftover(normal, F.array(found["needle"]), _among(lex.DESCRIPTORS)) <= 1
+    alone = lambda found: leftover(normal, F.array(found["needle"]), constants(lex.DESCRIPTORS)) <= 1
     return let(longest_in(normal, entries), lambda found: F.when(found.isNotNull(), alone(found)).otherwise(nearest_place(normal, entries).isNotNull()))
 
 

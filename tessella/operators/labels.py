@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.matching import find_in, gram_sets, let, tolerance_of
-from tessella.functions.text import contains, leftover, normalize, tidy, trimmed
+from tessella.functions.text import constants, contains, leftover, normalize, normalized, tidy, trimmed
 from tessella.operators import classify as C
 from tessella.operators import lexicon as lex
 
@@ -141,10 +141,6 @@ def _holding(lines: Column, needles: Column) -> Column:
     return _with(lines, lambda x: F.exists(needles, lambda n: contains(x["norm"], n)))
 
 
-def _descriptors() -> Column:
-    return F.array(*map(F.lit, dict.fromkeys(lex.DESCRIPTORS)))
-
-
 # ---- the label ------------------------------------------------------------------------------------------------------
 
 
@@ -201,7 +197,7 @@ def _vintage(df: DataFrame, year: int) -> DataFrame:
     def of(x: Column, i: Column) -> Column:
         years, before = F.regexp_extract_all(x["norm"], F.lit(found), F.lit(2)), F.regexp_extract_all(x["norm"], F.lit(found), F.lit(1))
         each = F.transform(years, lambda y, k: F.struct((x["norm"] != y).alias("shared"), (-F.coalesce(x["height"], F.lit(0.0))).alias("up"), i.alias("i"), k.alias("k"), y.alias("year"), F.get(before, k).alias("before")))
-        return F.filter(each, lambda c: (c["year"].cast("int") <= year + 1) & ~c["before"].isin(lex.FOUNDING_WORDS))
+        return F.filter(each, lambda c: (c["year"].cast("int") <= year + 1) & ~F.array_contains(constants(lex.FOUNDING_WORDS), c["before"]))
 
     df = df.withColumn("v", F.array_min(F.flatten(F.transform("lines", of))))
     return _claim(df.withColumn("Vintage", F.col("v.year")), F.col("v.i"))
@@ -210,15 +206,17 @@ def _vintage(df: DataFrame, year: int) -> DataFrame:
 def _varieties(df: DataFrame) -> DataFrame:
     """Grapes by longest name first, none inside another's name; listed as printed. Words of a printed place aren't misread grapes."""
     named = F.flatten(F.transform(F.filter("places", lambda p: contains(F.col("full"), p["needle"])), lambda p: F.split(p["needle"], " ")))
-    df = df.withColumn("withheld", F.concat(F.array(*map(F.lit, lex.LOOKALIKES)), named)).withColumn("sets", gram_sets(F.split("full", " "), 3))
-    hits = F.filter(F.transform("grapes", lambda g: F.struct(find_in(F.col("sets"), g, F.col("withheld")).alias("at"), g["needle"].alias("needle"), g["name"].alias("name"), g["colour"].alias("colour"))), lambda h: h["at"] >= 0)
+    # Bound, not columns: a projection that is named once, inside a lambda, would be computed again for every grape.
+    withheld, sets = F.concat(constants(lex.LOOKALIKES), named), gram_sets(F.split("full", " "), 3)
+    hit = lambda g, s, w: F.struct(find_in(s, g, w).alias("at"), g["needle"].alias("needle"), g["name"].alias("name"), g["colour"].alias("colour"))
+    hits = let(sets, lambda s: let(withheld, lambda w: F.filter(F.transform("grapes", lambda g: hit(g, s, w)), lambda h: h["at"] >= 0)))
     df = df.withColumn("hits", hits)
     none = F.array().cast("array<struct<at:int,needle:string,name:string,colour:string>>")
     df = df.withColumn("hits", F.aggregate("hits", none, lambda a, h: F.when(F.exists(a, lambda o: o["needle"].contains(h["needle"])), a).otherwise(F.concat(a, F.array(h)))))
     df = df.withColumn("hits", F.transform(F.sort_array(F.transform("hits", lambda h, i: F.struct(h["at"].alias("at"), i.alias("i"), h.alias("h")))), lambda s: s["h"]))
     needles = F.transform("hits", lambda h: h["needle"])
     df = df.withColumn("needles", needles)
-    bare = lambda x: F.exists("needles", lambda n: contains(x["norm"], n)) & ~x["prose"] & ~x["noise"] & (leftover(x["norm"], F.col("needles"), _descriptors()) <= 2)
+    bare = lambda x: F.exists("needles", lambda n: contains(x["norm"], n)) & ~x["prose"] & ~x["noise"] & (leftover(x["norm"], F.col("needles"), constants(lex.DESCRIPTORS)) <= 2)
     df = df.withColumn("grape_line", _tallest(F.col("lines"), F.array().cast("array<int>"), bare))
     df = df.withColumn("claimed", F.concat("claimed", _holding(F.col("lines"), F.col("needles"))))
     return df.withColumn("Varieties", F.when(F.size("hits") > 0, F.array_join(F.transform("hits", lambda h: h["name"]), ", ")))
@@ -256,7 +254,7 @@ def _appellation(df: DataFrame) -> DataFrame:
     place = F.when(F.col("declared").isNotNull(), F.coalesce(fuller(F.col("word")), F.col("declared"))).when(F.col("formula").isNotNull(), F.coalesce(F.when(F.col("spoken").isNotNull(), fuller(F.col("spoken"))), plain))
     df = df.withColumn("place", F.coalesce(place, hit(lambda x: F.lit(True)), fuzzy)).withColumn("Appelation", F.col("place.name"))
     line = F.get(lines, F.col("place.i"))
-    alone = ~marks(line) & (leftover(line["norm"], F.array(normalize(F.col("place.name"))), _descriptors()) <= 1)
+    alone = ~marks(line) & (leftover(line["norm"], F.array(normalize(F.col("place.name"))), constants(lex.DESCRIPTORS)) <= 1)
     df = df.withColumn("place_line", F.when(F.col("place").isNotNull() & alone, F.struct((-F.coalesce(line["height"], F.lit(0.0))).alias("up"), F.col("place.i").alias("i"), F.col("place.name").alias("text"))))
     return _claim(df, F.col("place.i"))
 
@@ -272,7 +270,7 @@ def _type(df: DataFrame) -> DataFrame:
     """By the words, in the order of the types; else by the grapes, if they agree."""
     out = None
     for name, needles in lex.TYPE_WORDS.items():
-        table = F.array(*[normalize(F.lit(n)) for n in needles])
+        table = constants(map(normalized, needles))
         test = F.exists(table, lambda n: contains(F.col("full"), n))
         out = F.when(test, F.lit(name)) if out is None else out.when(test, F.lit(name))
     colours = F.array_distinct(F.transform("hits", lambda h: h["colour"]))
@@ -282,8 +280,8 @@ def _type(df: DataFrame) -> DataFrame:
 def _winemaker(df: DataFrame) -> DataFrame:
     """By a naming word, in the order of the lines; else the tallest line that could be a name."""
     lines, claimed = F.col("lines"), F.col("claimed")
-    starts = F.array(*[normalize(F.lit(p)) for p in lex.PRODUCER_PREFIXES])
-    ends = F.array(*[normalize(F.lit(s)) for s in lex.PRODUCER_SUFFIXES])
+    starts = constants(map(normalized, lex.PRODUCER_PREFIXES))
+    ends = constants(map(normalized, lex.PRODUCER_SUFFIXES))
 
     def rule(x: Column, i: Column) -> Column:
         above = F.get(lines, i - 1)

@@ -586,3 +586,163 @@ def _(t):
     year = F.concat(F.lit("Vintage "), (F.lit(1990) + F.col("p_partkey") % 40).cast("string"))
     lines = F.concat_ws("\n", "p_brand", "p_name", "p_type", year)
     return label_fields(t.part.select("p_partkey", lines.alias("text"), F.lit(None).cast(LINES).alias("lines")), 2026)
+
+
+NOISE_SQL = "(?i)" + "|".join(f"(?:{p})" for p in classify.lex.NOISE_PATTERNS).replace("~b", "\\b").replace("'", "''")
+
+
+@query("line_noise", f"SELECT doc_id, pos, regexp_matches(line, '{NOISE_SQL}') AS noise FROM ({LINES_SQL})")
+@on
+def _(t):
+    return _lines(t).select("doc_id", "pos", classify.is_noise(F.col("line"), fuzzy=False).alias("noise"))
+
+
+def _record(t) -> DataFrame:
+    c = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations at every size
+    k = F.col("c_custkey")
+    return c.select(
+        "c_custkey", F.col("c_name").alias("Winemaker"), F.when(k % 2 == 0, F.col("c_mktsegment")).alias("WineName"), (F.lit(1990) + k % 30).cast("string").alias("Vintage"),
+        F.col("n_name").alias("Country"), F.when(k % 3 == 0, F.lit('say "hi" \\')).alias("Style"), F.when(k % 5 == 0, F.col("c_nationkey").cast("string")).alias("Points"),
+        (k % 2 == 0).alias("has_back"), F.when(k % 4 == 0, F.lit(" raw text\n")).alias("ocrText"), F.lit(" fine ").alias("tastingNote"),
+    )
+
+
+def _note_sql() -> str:
+    """The note of _record, line by line."""
+    name = "concat_ws(' - ', c_name, CASE WHEN k % 2 = 0 THEN c_mktsegment END, CAST(1990 + k % 30 AS VARCHAR))"
+    given = {
+        "Winemaker": "'\"' || c_name || '\"'", "WineName": "CASE WHEN k % 2 = 0 THEN '\"' || c_mktsegment || '\"' END", "Vintage": "'\"' || CAST(1990 + k % 30 AS VARCHAR) || '\"'",
+        "Country": "'\"' || n_name || '\"'", "Style": "CASE WHEN k % 3 = 0 THEN '\"say ' || chr(92) || '\"hi' || chr(92) || '\" ' || chr(92) || chr(92) || '\"' END",
+        "Points": "CASE WHEN k % 5 = 0 THEN CAST(c_nationkey AS VARCHAR) END",
+    }
+    lines = ["'---'", "'fileClass: Wine'", f"'Name: \"' || {name} || '\"'"]
+    for f in notes.FIELDS:
+        value = given.get(f.key, f"'{f.default}'" if f.default else "NULL")
+        lines.append(f"coalesce('{f.key}: ' || {value}, '{f.key}:')")
+    lines += ["'---'", "''", "'## Tasting note'", "'fine'", "''", "'## Label'", f"'Label:: ![[' || {name} || '.jpg]]'", "''", "'## Back label'"]
+    lines += [f"CASE WHEN k % 2 = 0 THEN 'Back label:: ![[' || {name} || ' - back.jpg]]' ELSE 'Back label::' END", "''", "'## Food'", "'Food::'", "''"]
+    tail = "CASE WHEN k % 4 = 0 THEN chr(10) || '%%' || chr(10) || 'Recognised label text, kept in case a field above needs correcting.' || chr(10) || chr(10) || 'raw text' || chr(10) || '%%' || chr(10) ELSE '' END"
+    return f"SELECT k AS c_custkey, md5(concat_ws(chr(10), {', '.join(lines)}) || {tail}) AS note FROM (SELECT c_custkey AS k, * FROM customer JOIN nation ON c_nationkey = n_nationkey)"
+
+
+@query("note_render", _note_sql())
+@on
+def _(t):
+    r = _record(t)
+    return r.select("c_custkey", F.md5(notes.note(r)).alias("note"))
+
+
+@query(
+    "parcel_unpack",
+    """WITH n AS (SELECT p_partkey, p_name || CASE WHEN r = 1 THEN '' ELSE ' ' || r END AS name FROM (SELECT p_partkey, p_name, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS r FROM part))
+    SELECT p_partkey, 0 AS seq, 'img/' || name || '.jpg' AS path, NULL AS content FROM n UNION ALL SELECT p_partkey, 1, 'notes/' || name || '.md', 'see ![[' || name || '.jpg]]' FROM n""",
+)
+@on
+def _(t):
+    files = F.array(F.struct(F.concat(F.lit("img/"), "p_name", F.lit(".jpg")).alias("path"), notes.data_uri(F.encode("p_brand", "UTF-8")).alias("data")))
+    json = notes.parcel(F.concat(F.lit("notes/"), "p_name", F.lit(".md")), F.concat(F.lit("see ![["), "p_name", F.lit(".jpg]]")), files)
+    parcels = t.part.select("p_partkey", json.alias("json"))
+    none = t.region.where("r_regionkey < 0").select(F.col("r_name").alias("path"))
+    return notes.unpacked(parcels, "json", none, "p_partkey").select("p_partkey", "seq", "path", "content")
+
+
+@query("late_results", "SELECT o.o_orderkey, CASE WHEN o.o_custkey % 2 = 0 THEN c.c_name END AS answer FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")
+@on
+def _(t):
+    """Answers that name an older version of their request don't arrive."""
+    requests = t.orders.select("o_orderkey", F.col("o_custkey").alias("k"), F.lit(2).alias("version"))
+    answers = t.customer.select(F.col("c_custkey").alias("k"), (F.lit(1) + (F.col("c_custkey") % 2 == 0).cast("int")).alias("version"), F.col("c_name").alias("answer"))
+    return tables.current(requests, answers, "k", "version").select("o_orderkey", "answer")
+
+
+@query("coordinates", "SELECT vec_id, printf('%.5f, %.5f', CAST(vec_id AS DOUBLE) / 8, -CAST(vec_id AS DOUBLE) / 16) AS place FROM embeddings")
+@on
+def _(t):
+    v = F.col("vec_id").cast("double")
+    return t.embeddings.select("vec_id", text.coordinates(v / 8, -v / 16).alias("place"))
+
+
+@query(
+    "age_labels",
+    """WITH a AS (SELECT event_id, s, CAST(floor(s / 60 + 0.5) AS BIGINT) AS m FROM (SELECT event_id, CAST(event_id * 37 AS DOUBLE) AS s FROM events)), b AS (SELECT *, CAST(floor(m / 60.0 + 0.5) AS BIGINT) AS h FROM a), c AS (SELECT *, CAST(floor(h / 24.0 + 0.5) AS BIGINT) AS d FROM b)
+    SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN m < 60 THEN m || ' min' || CASE WHEN m = 1 THEN '' ELSE 's' END || ' ago' WHEN h < 24 THEN h || ' hour' || CASE WHEN h = 1 THEN '' ELSE 's' END || ' ago' WHEN d = 1 THEN 'yesterday' ELSE d || ' days ago' END AS age FROM c""",
+)
+@on
+def _(t):
+    return t.events.select("event_id", text.age_label(F.col("event_id") * 37).alias("age"))
+
+
+@query(
+    "stalled_transfers",
+    """WITH g AS (SELECT user_id, value, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)
+    SELECT user_id, count(*) AS n_bytes, coalesce(max(gap) > INTERVAL 24 HOUR, false) AS stalled FROM g GROUP BY user_id""",
+)
+@on
+def _(t):
+    from tessella.operators.events import stalled
+
+    chunks = t.events.select(F.col("user_id").alias("file"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lit(1).alias("size"), F.lit(True).alias("done"))
+    return stalled(chunks, patience=24 * 3600 * 1_000_000).select(F.col("file").alias("user_id"), "n_bytes", "stalled")
+
+
+@query("access_states", "SELECT n_nationkey, CASE n_nationkey % 5 WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' WHEN 2 THEN 'err' ELSE 'warn' END AS dot, CASE n_nationkey % 5 WHEN 1 THEN 'reconnect' WHEN 3 THEN NULL ELSE 'pick' END AS button FROM nation")
+@on
+def _(t):
+    from tessella.operators.events import access
+
+    k = F.col("n_nationkey") % 5
+    state = F.when(k == 0, "granted").when(k == 1, "prompt").when(k == 2, "denied").when(k == 3, "unsupported").otherwise("what")
+    return access(t.nation.withColumn("state", state)).select("n_nationkey", "dot", "button")
+
+
+@query("language_packs", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'eng+fra+kat' WHEN 1 THEN 'eng+fra' ELSE 'spa+deu' END AS packs, CAST(CASE n_nationkey % 3 WHEN 0 THEN 4.5 WHEN 1 THEN 3.5 ELSE 3.3 END AS DOUBLE) AS mb FROM nation")
+@on
+def _(t):
+    from tessella.operators.events import active_languages, pack_megabytes, pack_name
+
+    k = F.col("n_nationkey") % 3
+    chosen = F.when(k == 0, F.array(*map(F.lit, ["kat", "xx", "fra", "eng", "deu"]))).when(k == 1, F.array(F.lit("xx"))).otherwise(F.array(F.lit("deu"), F.lit("spa")))
+    d = t.nation.select("n_nationkey", active_languages(chosen).alias("a"))
+    return d.select("n_nationkey", pack_name(F.col("a")).alias("packs"), F.round(pack_megabytes(F.col("a")), 1).alias("mb"))
+
+
+@query(
+    "score_rollup",
+    f"""SELECT coalesce(source, 'all') AS source, coalesce(field, 'all') AS field, count(*) AS n, CAST(sum(CASE WHEN sim >= 0.6 THEN 1 ELSE 0 END) AS BIGINT) AS hits
+    FROM ({SIM_SQL}) GROUP BY GROUPING SETS ((source, field), (field), ())""",
+)
+@on
+def _(t):
+    """By source and field, by field and overall in one pass over the cells."""
+    c = scoring.cells(_predictions(t), keep=("file", "source"))
+    sets = c.groupingSets([["source", "field"], ["field"], []], "source", "field").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    return sets.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("field", F.lit("all")).alias("field"), "n", "hits")
+
+
+@query("screen_flow")
+@on
+def _(t):
+    """Rows only: each user's events as visits to screens."""
+    from tessella.operators.events import screens
+
+    e = t.events.select(F.col("user_id").alias("session"), F.row_number().over(_by_time()).cast("long").alias("seq"), F.when(F.col("event_type") == "logout", F.lit("pop")).otherwise(F.lit("go")).alias("kind"), F.col("event_type").alias("screen"), F.lit(0).alias("depth"))
+    return screens(e)
+
+
+def _by_time():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query("row_bands")
+@on
+def _(t):
+    """Rows only: each vector as 16 boxes in reading order."""
+    import pyarrow as pa
+
+    def order(v):
+        boxes = [{"corners": [{"x": v[4 * i], "y": v[4 * i + 1]}], "h": abs(v[4 * i + 2]) + 0.01, "i": i} for i in range(16)]
+        return [b["i"] for b in vision.in_reading_order(boxes)]
+
+    return vision.per_row(t.embeddings.select("vec_id", "embedding"), ["embedding"], "ord", "array<long>", order, pa.list_(pa.int64())).select("vec_id", F.array_join(F.transform("ord", lambda x: x.cast("string")), ",").alias("reading"))

@@ -47,63 +47,72 @@ def stack(*items, gap=30.0):
     return out
 
 
-def read(spark, lines=None, text=None, year=2026):
-    return label_fields(spark.createDataFrame([(text, lines)], f"text string, lines {LINES}"), year).first().asDict()
-
-
-def test_a_whole_label(spark):
-    got = read(spark, stack(("CHÂTEAU LA POMPE", 60), ("SAINT-ESTÈPHE", 30), ("APPELLATION SAINT-ESTÈPHE CONTRÔLÉE", 20), ("2015", 40), ("13% vol", 12)))
+def lines_of(*texts):
+    return stack(*[(t, 20) for t in texts])
+
+
+VINTAGES = [(["2015"], "2015"), (["EST. 1885", "2014"], "2014"), (["Since 1749"], None), (["2099"], None), (["1650"], None), (["Cuvée 2012", "2013"], "2013")]
+GRAPES = [(["Syrah Grenache"], "Syrah, Grenache"), (["Gewurztrarniner"], "Gewürztraminer"), (["Joseph Mellot"], None), (["Cabernet Sauvignon"], "Cabernet Sauvignon"), (["Syrahs"], None), (["TARANTINO"], None)]
+WRAPPED = [("Long wrapped", 50.0, 100.0, None, None, None), ("name here", 44.0, 156.0, None, None, None), ("2011", 52.0, 220.0, None, None, None)]
+LABELS = {
+    "whole": stack(("CHÂTEAU LA POMPE", 60), ("SAINT-ESTÈPHE", 30), ("APPELLATION SAINT-ESTÈPHE CONTRÔLÉE", 20), ("2015", 40), ("13% vol", 12)),
+    "text": "Ridge Vineyards\nZinfandel\nSonoma Coast\n2018\nCalifornia", "empty": "", "nothing": None,
+    **{f"vintage {i}": lines_of(*x) for i, (x, _) in enumerate(VINTAGES)}, **{f"grapes {i}": lines_of(*x) for i, (x, _) in enumerate(GRAPES)},
+    "longer": lines_of("Chianti Classico"), "fuller": stack(("MOULIS-EN-MÉDOC", 40), ("Appellation Moulis Contrôlée", 12)),
+    "declared": stack(("Saint-Julien", 60), ("Appellation Margaux Contrôlée", 12)), "unlisted": lines_of("Appellation Foobar Contrôlée"),
+    "baja": lines_of("Baja California"), "squashed": lines_of("BRUNELLOMONTALCIN"),
+    "red": lines_of("vino rosso"), "sparkling": lines_of("Blanc de Blancs Brut"), "mixed": lines_of("Merlot", "Chardonnay"),
+    "prefix": stack(("Big Words Here", 90), ("Domaine Tempier", 30)), "bin": stack(("Lindeman's", 30), ("Bin 25", 20)),
+    "tail": stack(("Stag Leap", 60), ("Vineyard and Cellars", 20)), "grape name": stack(("Rkatsiteli", 60), ("Tbilvino Winery", 30)), "wrapped": WRAPPED,
+}
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    """All labels read at once, by name."""
+    rows = [(k, v, None) if v is None or isinstance(v, str) else (k, None, v) for k, v in LABELS.items()]
+    df = spark.createDataFrame(rows, f"name string, text string, lines {LINES}").repartition(4)
+    return {r["name"]: r.asDict() for r in label_fields(df, 2026).collect()}
+
+
+def test_a_whole_label(labels):
+    got = labels["whole"]
     assert (got["Vintage"], got["Appelation"], got["Country"], got["Region"], got["Winemaker"]) == ("2015", "Saint-Estèphe", "France", "Bordeaux", "CHÂTEAU LA POMPE")
 
 
-def test_plain_text_and_nothing(spark):
-    got = read(spark, text="Ridge Vineyards\nZinfandel\nSonoma Coast\n2018\nCalifornia")
+def test_plain_text_and_nothing(labels):
+    got = labels["text"]
     assert (got["Winemaker"], got["WineName"], got["Varieties"], got["Vintage"], got["Country"], got["Type"]) == ("Ridge Vineyards", "Zinfandel", "Zinfandel", "2018", "USA", "Red")
-    assert read(spark, text="")["filled"] == [] == read(spark)["filled"]
+    assert labels["empty"]["filled"] == [] == labels["nothing"]["filled"]
 
 
-@pytest.mark.parametrize("lines, year", [(["2015"], "2015"), (["EST. 1885", "2014"], "2014"), (["Since 1749"], None), (["2099"], None), (["1650"], None), (["Cuvée 2012", "2013"], "2013")])
-def test_vintage(spark, lines, year):
-    assert read(spark, stack(*[(x, 20) for x in lines]))["Vintage"] == year
+def test_vintages(labels):
+    assert [labels[f"vintage {i}"]["Vintage"] for i in range(len(VINTAGES))] == [y for _, y in VINTAGES]
 
 
-@pytest.mark.parametrize(
-    "lines, grapes",
-    [(["Syrah Grenache"], "Syrah, Grenache"), (["Gewurztrarniner"], "Gewürztraminer"), (["Joseph Mellot"], None), (["Cabernet Sauvignon"], "Cabernet Sauvignon"), (["Syrahs"], None), (["TARANTINO"], None)],
-)
-def test_varieties(spark, lines, grapes):
-    assert read(spark, stack(*[(x, 20) for x in lines]))["Varieties"] == grapes
+def test_varieties(labels):
+    assert [labels[f"grapes {i}"]["Varieties"] for i in range(len(GRAPES))] == [g for _, g in GRAPES]
 
 
-def test_places(spark):
-    assert read(spark, stack(("Chianti Classico", 20)))["Appelation"] == "Chianti Classico"
-    got = read(spark, stack(("MOULIS-EN-MÉDOC", 40), ("Appellation Moulis Contrôlée", 12)))
-    assert (got["Appelation"], got["Region"]) == ("Moulis-en-Médoc", "Bordeaux")
-    got = read(spark, stack(("Saint-Julien", 60), ("Appellation Margaux Contrôlée", 12)))
-    assert got["Appelation"] == "Margaux"
-    assert read(spark, stack(("Appellation Foobar Contrôlée", 12)))["Appelation"] == "Foobar"
-    assert read(spark, stack(("Baja California", 12)))["Country"] == "Mexico"
-    assert read(spark, stack(("BRUNELLOMONTALCIN", 12)))["Appelation"] == "Brunello di Montalcino"
+def test_places(labels):
+    assert labels["longer"]["Appelation"] == "Chianti Classico"
+    assert (labels["fuller"]["Appelation"], labels["fuller"]["Region"]) == ("Moulis-en-Médoc", "Bordeaux")
+    assert labels["declared"]["Appelation"] == "Margaux" and labels["unlisted"]["Appelation"] == "Foobar"
+    assert labels["baja"]["Country"] == "Mexico" and labels["squashed"]["Appelation"] == "Brunello di Montalcino"
 
 
-def test_types(spark):
-    assert read(spark, stack(("vino rosso", 12)))["Type"] == "Red"
-    assert read(spark, stack(("Blanc de Blancs Brut", 12)))["Type"] == "Sparkling"
-    assert read(spark, stack(("Merlot", 12), ("Chardonnay", 12)))["Type"] is None
+def test_types(labels):
+    assert [labels[k]["Type"] for k in ("red", "sparkling", "mixed")] == ["Red", "Sparkling", None]
 
 
-def test_names(spark):
-    got = read(spark, stack(("Big Words Here", 90), ("Domaine Tempier", 30)))
-    assert (got["Winemaker"], got["WineName"]) == ("Domaine Tempier", "Big Words Here")
-    assert read(spark, stack(("Lindeman's", 30), ("Bin 25", 20)))["WineName"] == "Bin 25"
-    assert read(spark, stack(("Stag Leap", 60), ("Vineyard and Cellars", 20)))["Winemaker"] == "Stag Leap Vineyard and Cellars"
-    assert read(spark, stack(("Rkatsiteli", 60), ("Tbilvino Winery", 30)))["WineName"] == "Rkatsiteli"
+def test_names(labels):
+    assert (labels["prefix"]["Winemaker"], labels["prefix"]["WineName"]) == ("Domaine Tempier", "Big Words Here")
+    assert labels["bin"]["WineName"] == "Bin 25" and labels["grape name"]["WineName"] == "Rkatsiteli"
+    assert labels["tail"]["Winemaker"] == "Stag Leap Vineyard and Cellars"
 
 
-def test_wrapped_lines(spark):
-    lines = [("Long wrapped", 50.0, 100.0, None, None, None), ("name here", 44.0, 156.0, None, None, None), ("2011", 52.0, 220.0, None, None, None)]
-    got = read(spark, lines)
-    assert (got["Winemaker"], got["Vintage"]) == ("Long wrapped name here", "2011")
+def test_wrapped_lines(labels):
+    assert (labels["wrapped"]["Winemaker"], labels["wrapped"]["Vintage"]) == ("Long wrapped name here", "2011")
 
 
 def piece(text, top, left, right, height=50.0, confidence=90.0, apart=False):
