@@ -26,6 +26,9 @@ FIELDS = [
     Field("Inventory", "bare", "0", "number"), Field("Buy", "bare", "0", "number"), Field("Buy date", "bare", kind="date"), Field("Drink date", "bare", kind="date"),
     Field("Drink coordinates"), Field("Drink city"), Field("Drink country"), Field("Drink venue"),
 ]
+#: A note's headings and the line above the raw text.
+TASTING, LABEL, BACK, FOOD = "Tasting note", "Label", "Back label", "Food"
+RAW_TEXT = "Recognised label text, kept in case a field above needs correcting."
 #: Characters that a parcel's photos share, in base64.
 PARCEL_BUDGET = 800_000
 PARCEL = "struct<v:int,note:struct<path:string,content:string>,files:array<struct<path:string,data:string>>>"
@@ -56,13 +59,13 @@ def note(df: DataFrame, base: Column | None = None) -> Column:
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)) if c in df.columns else F.lit(False)
     embed = lambda on, label, name: F.when(on, F.concat(F.lit(f"{label}:: ![["), name, F.lit("]]"))).otherwise(F.lit(f"{label}::"))
     parts = [
-        F.lit("---"), frontmatter(df), F.lit("---"), F.lit(""), F.lit("## Tasting note"), trimmed(F.coalesce(_value(df, "tastingNote"), F.lit(""))), F.lit(""),
-        F.lit("## Label"), embed(F.lit(True), "Label", names["label"]), F.lit(""),
-        F.lit("## Back label"), embed(flag("has_back"), "Back label", names["back"]), F.lit(""),
-        F.lit("## Food"), embed(flag("has_food"), "Food", names["food"]), F.lit(""),
+        F.lit("---"), frontmatter(df), F.lit("---"), F.lit(""), F.lit(f"## {TASTING}"), trimmed(F.coalesce(_value(df, "tastingNote"), F.lit(""))), F.lit(""),
+        F.lit(f"## {LABEL}"), embed(F.lit(True), LABEL, names["label"]), F.lit(""),
+        F.lit(f"## {BACK}"), embed(flag("has_back"), BACK, names["back"]), F.lit(""),
+        F.lit(f"## {FOOD}"), embed(flag("has_food"), FOOD, names["food"]), F.lit(""),
     ]
     raw = trimmed(F.coalesce(_value(df, "ocrText"), F.lit("")))
-    kept = F.concat(F.lit("\n%%\nRecognised label text, kept in case a field above needs correcting.\n\n"), raw, F.lit("\n%%\n"))
+    kept = F.concat(F.lit(f"\n%%\n{RAW_TEXT}\n\n"), raw, F.lit("\n%%\n"))
     return F.concat(F.concat_ws("\n", *parts), F.when(raw != "", kept).otherwise(F.lit("")))
 
 
@@ -85,7 +88,8 @@ def data_of(uri: Column) -> Column:
     return F.unbase64(F.regexp_replace(uri, "^[^,]*,", ""))
 
 
-def macro_uri(vault: Column, choice: Column, scheme: str = "obsidian://quickadd") -> Column:
+def macro_uri(vault: Column, choice: Column, scheme: str) -> Column:
+    """The link that starts a macro of that choice in a vault, at the address that handles such links."""
     return F.concat(F.lit(f"{scheme}?vault="), percent_encoded(vault), F.lit("&choice="), percent_encoded(choice))
 
 
