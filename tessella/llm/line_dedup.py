@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
+from itertools import accumulate
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,9 +20,10 @@ from tessella.llm._common import durable, free_name, small_batches
 
 #: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
 CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
-#: In a unit of more words than this, every word with such an ending ends a unit too, so that text without sentence ends is cut alike wherever it stands.
-LONG = 30
-LONG_CUT = re.compile(rb"\S*[dnsy0-9\x80-\x8f][ \t]+")
+#: In a unit of so many words, about every CUT_EVERY-th word ends a unit too, told by its hash, so that text without sentence ends is
+#: cut alike wherever it stands.
+LONG, CUT_EVERY = 30, 16
+TOKEN = re.compile(rb"[^ \t]+[ \t]*")
 #: A run has at least so many words. Below 50, so that a passage of over 50 words counts though its first unit may hang on other text.
 MIN_WORDS = 40
 
@@ -34,10 +38,13 @@ def units(raw: bytes) -> list[bytes]:
                 out.append(unit)
             else:
                 at = 0
-                for cut in [*(m.end() for m in LONG_CUT.finditer(unit)), len(unit)]:
-                    if at < cut:
-                        out.append(unit[at:cut])
-                    at = cut
+                words = TOKEN.findall(unit)
+                ends = list(accumulate(map(len, words)))
+                for i in [i for i, w in enumerate(words) if crc32(w.rstrip()) % CUT_EVERY == 0]:
+                    out.append(unit[at : ends[i]])
+                    at = ends[i]
+                if at < len(unit):
+                    out.append(unit[at:])
         start = end
     return out
 
@@ -112,8 +119,9 @@ BLOCK_BYTES = 8 << 20
 PART_ROWS = 1 << 20
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of about so many bytes of text: for each text who it is and how many units it has, and all units' hashes and words."""
+def _blocks(batches: Iterator[pa.RecordBatch], min_words: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows of about so many bytes of text: for each text who it is and how many units it has, all units' hashes and words, and the
+    sorted distinct hashes of the anchors, with whether they are anchors at several places."""
     press = zstandard.ZstdCompressor(level=1)
     ids: list[int | None] = []
     raws: list[bytes] = []
@@ -127,6 +135,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
         who["id"] = [i or 0 for i in ids]
         who["th"] = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], np.uint64).view(np.int64)
         got = {"who": who.tobytes(), "n": n.astype("<u4").tobytes(), "hashes": hashes.tobytes(), "words": press.compress(words.astype("<u4").tobytes()), "units": len(hashes)}
+        marks, several = Windows(got, min_words).marked()
+        got |= {"marks": marks.tobytes(), "several": several.astype(np.uint8).tobytes()}
         ids.clear()
         raws.clear()
         held = 0
@@ -162,10 +172,9 @@ class Windows:
         found, times = np.unique(self.hashes[np.unique(self.at)], return_counts=True)
         return found, times > 1
 
-    def near(self, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, second key, place) of the windows with one of these anchors, sorted by key, then by place."""
-        own, _ = self.marked()
-        keep = again[np.searchsorted(own, self.marks)]
+    def near(self, marks: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, second key, place) of the windows whose anchors are said to come again, sorted by key, then by place."""
+        keep = again[np.searchsorted(marks, self.marks)]
         first, last, owner = self.first[keep], self.last[keep], self.owner[keep]
         place = self.who[owner]
         place["first"], place["last"] = first - self.base[owner], last - self.base[owner]
@@ -234,86 +243,85 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     is in, and get an answer: however often a passage occurs, a part hears of it once from each block."""
     small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    kind = "who binary, n binary, hashes binary, words binary, units long"
-    blocks = durable(text.mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
+    kind = "who binary, n binary, hashes binary, words binary, units long, marks binary, several binary"
+    blocks = durable(text.mapInArrow(lambda b: _blocks(b, min_words, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
     bits = max(3, int((blocks.agg(F.sum("units")).first()[0] or 1) / PART_ROWS).bit_length())
 
     # 1. Fingerprints: the anchors. Which of them are at several places?
     def ask_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                marks, several = Windows(row, min_words).marked()
-                found = [{"block": row["block"], "part": p, "marks": marks[a:b].tobytes(), "several": several[a:b].astype(np.uint8).tobytes()} for p, a, b in _parts(marks, bits)]
+                marks, several = np.frombuffer(row["marks"], np.uint64), row["several"]
+                found = [{"block": row["block"], "part": p, "marks": marks[a:b].tobytes(), "several": several[a:b]} for p, a, b in _parts(marks, bits)]
                 if found:
                     yield pa.RecordBatch.from_pylist(found)
 
-    asked = blocks.mapInArrow(ask_marks, "block long, part long, marks binary, several binary")
+    asked = blocks.select("block", "marks", "several").mapInArrow(ask_marks, "block long, part long, marks binary, several binary")
     again = asked.groupBy("part").applyInPandas(_recurring, "block long, part long, again binary, size long")
 
-    # 2. The windows around those, by content: their first places.
-    def told(marks: pd.DataFrame) -> np.ndarray:
-        rows = marks.sort_values("part")
-        bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(rows["again"], rows["size"])]
-        return np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
-
+    # 2. The windows around those, by content: their first places. A block keeps all places of its own windows beside (part -1).
     def ask_windows(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        names = ["block", "part", "keys", "keys2", "places", "times", "own"]
+        marks = marks.sort_values("part")
+        bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(marks["again"], marks["size"])]
+        flags = np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
+        if not flags.any():
+            return pd.DataFrame([], columns=names)
         row = block_rows.iloc[0].to_dict()
-        names = ["block", "part", "keys", "keys2", "places", "times", "again"]
-        flags = told(marks)
-        key, key2, place = Windows(row, min_words).near(flags) if flags.any() else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, PLACE),)
-        starts = _starts(key, key2) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(np.append(starts, len(key))).astype("<u4")
-        key, key2, place = key[starts], key2[starts], place[starts]
-        found = [(row["block"], p, key[a:b].tobytes(), key2[a:b].tobytes(), place[a:b].tobytes(), times[a:b].tobytes(), None) for p, a, b in _parts(key, bits)]
-        # For the block itself, which windows it named.
-        return pd.DataFrame([*found, (row["block"], -1, None, None, None, None, np.packbits(flags).tobytes())], columns=names)
-
-    near = durable(blocks.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(ask_windows, "block long, part long, keys binary, keys2 binary, places binary, times binary, again binary"))
-    origins = near.where("part >= 0").select("block", "part", "keys", "keys2", "places", "times").groupBy("part").applyInPandas(_origins, "block long, part long, hits binary, places binary")
-    answers = origins.unionByName(near.where("part < 0").select("block", "part", F.col("again").alias("hits"), F.lit(None).cast("binary").alias("places")))
-
-    # 3. Every other place is a repeat.
-    def later(block_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.array([], "Int64"), "th": np.zeros(0, np.int64), "ranges": pd.Series([], dtype=object)})
-        rows = rows.sort_values("part")
-        if len(rows) < 2:
-            return empty
-        w = Windows(block_rows.iloc[0].to_dict(), min_words)
-        flags = np.unpackbits(np.frombuffer(rows["hits"].iloc[0], np.uint8)).astype(bool)
-        key, key2, place = w.near(flags)
+        key, key2, place = Windows(row, min_words).near(np.frombuffer(row["marks"], np.uint64), flags)
         starts = _starts(key, key2)
-        from_part = {p: a for p, a, _ in _parts(key[starts], bits)}
-        which = np.concatenate([from_part[p] + np.frombuffer(x, "<u4").astype(np.int64) for p, x in zip(rows["part"].iloc[1:], rows["hits"].iloc[1:])])
-        origin = np.concatenate([np.frombuffer(x, PLACE) for x in rows["places"].iloc[1:]])
-        sizes = np.diff(np.append(starts, len(key)))
-        of = np.full(len(starts), -1, np.int64)
-        of[which] = np.arange(len(which))
-        of = np.repeat(of, sizes)
-        place, origin = place[of >= 0], origin[of[of >= 0]]
-        same_text = (place["known"] == origin["known"]) & (place["id"] == origin["id"]) & (place["th"] == origin["th"])
-        first = np.where(same_text, np.maximum(place["first"], origin["last"] + 1), place["first"])
-        gone = (place != origin) & (first <= place["last"])
-        place, first = place[gone], first[gone]
-        if not len(place):
-            return empty
-        order = np.lexsort((first, place["th"], place["id"], place["known"]))
-        place, first = place[order], first[order]
-        out = []
-        edges = np.flatnonzero(np.append(True, (place["id"][1:] != place["id"][:-1]) | (place["th"][1:] != place["th"][:-1]) | (place["known"][1:] != place["known"][:-1])))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(place)]):
-            ranges: list[list[int]] = []
-            for x, y in zip(first[a:b].tolist(), place["last"][a:b].tolist()):
-                if ranges and x <= ranges[-1][1] + 1:
-                    ranges[-1][1] = max(ranges[-1][1], y)
-                else:
-                    ranges.append([x, y])
-            out.append((int(place["id"][a]) if place["known"][a] else None, int(place["th"][a]), [x for r in ranges for x in r]))
-        return pd.DataFrame({"id": pd.array([r[0] for r in out], "Int64"), "th": [r[1] for r in out], "ranges": [r[2] for r in out]})
-
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(later, "id long, th long, ranges array<int>")
+        times, parts = np.diff(np.append(starts, len(key))).astype("<u4"), _parts(key[starts], bits)
+        own = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((place.tobytes(), times.tobytes(), {p: a for p, a, _ in parts})))
+        first = place[starts]
+        found = [(row["block"], p, key[starts][a:b].tobytes(), key2[starts][a:b].tobytes(), first[a:b].tobytes(), times[a:b].tobytes(), None) for p, a, b in parts]
+        return pd.DataFrame([*found, (row["block"], -1, None, None, None, None, own)], columns=names)
+
+    lean = blocks.select("block", "who", "n", "hashes", "words", "marks")
+    near = durable(lean.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(ask_windows, "block long, part long, keys binary, keys2 binary, places binary, times binary, own binary"))
+    origins = near.where("part >= 0").select("block", "part", "keys", "keys2", "places", "times").groupBy("part").applyInPandas(_origins, "block long, part long, hits binary, places binary")
+    answers = origins.unionByName(near.where("part < 0").select("block", "part", F.col("own").alias("hits"), F.lit(None).cast("binary").alias("places")))
+    found = answers.groupBy("block").applyInPandas(_later, "id long, th long, ranges array<int>")
     return found.groupBy("id", "th").agg(F.first("ranges").alias("ranges"))  # identical rows in several blocks say the same
 
 
+def _later(rows: pd.DataFrame) -> pd.DataFrame:
+    """3. Of one block's windows, every place that isn't the first is a repeat: the ranges to delete, by text."""
+    empty = pd.DataFrame({"id": pd.array([], "Int64"), "th": np.zeros(0, np.int64), "ranges": pd.Series([], dtype=object)})
+    rows = rows.sort_values("part")
+    if len(rows) < 2:
+        return empty
+    places, times, from_part = pickle.loads(zstandard.ZstdDecompressor().decompress(rows["hits"].iloc[0]))  # written by ask_windows
+    place, sizes = np.frombuffer(places, PLACE), np.frombuffer(times, "<u4").astype(np.int64)
+    which = np.concatenate([from_part[p] + np.frombuffer(x, "<u4").astype(np.int64) for p, x in zip(rows["part"].iloc[1:], rows["hits"].iloc[1:])])
+    origin = np.concatenate([np.frombuffer(x, PLACE) for x in rows["places"].iloc[1:]])
+    of = np.full(len(sizes), -1, np.int64)
+    of[which] = np.arange(len(which))
+    of = np.repeat(of, sizes)
+    place, origin = place[of >= 0], origin[of[of >= 0]]
+    same_text = (place["known"] == origin["known"]) & (place["id"] == origin["id"]) & (place["th"] == origin["th"])
+    first = np.where(same_text, np.maximum(place["first"], origin["last"] + 1), place["first"])
+    gone = (place != origin) & (first <= place["last"])
+    place, first = place[gone], first[gone]
+    if not len(place):
+        return empty
+    order = np.lexsort((first, place["th"], place["id"], place["known"]))
+    place, first = place[order], first[order]
+    new = (place["id"][1:] != place["id"][:-1]) | (place["th"][1:] != place["th"][:-1]) | (place["known"][1:] != place["known"][:-1])
+    edges = np.flatnonzero(np.append(True, new)).tolist()
+    ids, ths, found = [], [], []
+    for a, b in zip(edges, [*edges[1:], len(place)]):
+        ranges: list[int] = []
+        for x, y in zip(first[a:b].tolist(), place["last"][a:b].tolist()):
+            if ranges and x <= ranges[-1] + 1:
+                ranges[-1] = max(ranges[-1], y)
+            else:
+                ranges += [x, y]
+        ids.append(int(place["id"][a]) if place["known"][a] else None)
+        ths.append(int(place["th"][a]))
+        found.append(ranges)
+    return pd.DataFrame({"id": pd.array(ids, "Int64"), "th": ths, "ranges": found})
+
+
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The input rows with their columns; the text without the runs that occur earlier. with_counts adds n_removed (units) and n_removed_words.
 
