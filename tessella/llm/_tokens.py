@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from functools import cached_property, lru_cache
 
 import numpy as np
@@ -45,7 +46,7 @@ class Ids:
     def ids(self, text: str) -> np.ndarray:
         if SETTLED.search(text) or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
+        return np.frombuffer(array("I", self.fast.encode_ordinary(text)), "<u4")
 
 
 @lru_cache(maxsize=1)
