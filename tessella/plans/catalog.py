@@ -585,7 +585,10 @@ def _(t):
 
     year = F.concat(F.lit("Vintage "), (F.lit(1990) + F.col("p_partkey") % 40).cast("string"))
     lines = F.concat_ws("\n", "p_brand", "p_name", "p_type", year)
-    return label_fields(t.part.select("p_partkey", lines.alias("text"), F.lit(None).cast(LINES).alias("lines")), 2026)
+    labels = t.part.select("p_partkey", lines.alias("text"), F.lit(None).cast(LINES).alias("lines"))
+    cores = labels.sparkSession.sparkContext.defaultParallelism
+    # A label is a millisecond's work on a hundred bytes: a table in one small file is dealt to all cores first.
+    return label_fields(labels if labels.rdd.getNumPartitions() >= cores else labels.repartition(cores), 2026)
 
 
 NOISE_SQL = "(?i)" + "|".join(f"(?:{p})" for p in classify.lex.NOISE_PATTERNS).replace("~b", "\\b").replace("'", "''")
