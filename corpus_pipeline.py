@@ -22,7 +22,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without runs of text that occur earlier; n_chars follows the text. A whole repeat is left empty."""
-    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return line_dedup(docs, passages=True).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 from zlib import crc32
 
@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import durable, free_name, small_batches
+from tessella.llm._common import durable, free_name, released, sized, small_batches
 
 #: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
 CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
@@ -26,6 +26,10 @@ LONG, CUT_EVERY = 30, 16
 TOKEN = re.compile(rb"[^ \t]+[ \t]*")
 #: A run has at least so many words. Below 50, so that a passage of over 50 words counts though its first unit may hang on other text.
 MIN_WORDS = 40
+#: A passage, told by its words alone wherever units end: over 50 words.
+PASSAGE = 51
+#: A passage's fingerprint is the least hash of the runs of so many words in it.
+GRAM = 32
 
 
 def units(raw: bytes) -> list[bytes]:
@@ -143,9 +147,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], min_words: int, most_bytes: int)
         return pa.RecordBatch.from_pylist([got])
 
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             ids.append(i)
-            raws.append(text.as_py().encode())
+            raws.append(raw)
             held += len(raws[-1]) + 64
             if held >= most_bytes:
                 yield out()
@@ -245,6 +249,11 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     kind = "who binary, n binary, hashes binary, words binary, units long, marks binary, several binary"
     blocks = durable(text.mapInArrow(lambda b: _blocks(b, min_words, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
+    return _repeats(blocks, ["who", "n", "hashes", "words"], lambda row: Windows(row, min_words))
+
+
+def _again(blocks: DataFrame) -> tuple[int, DataFrame]:
+    """(bits of the key space's parts, for each block which of its anchors are at several places)."""
     bits = max(3, int((blocks.agg(F.sum("units")).first()[0] or 1) / PART_ROWS).bit_length())
 
     # 1. Fingerprints: the anchors. Which of them are at several places?
@@ -258,17 +267,28 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     asked = blocks.select("block", "marks", "several").mapInArrow(ask_marks, "block long, part long, marks binary, several binary")
     again = asked.groupBy("part").applyInPandas(_recurring, "block long, part long, again binary, size long")
+    return bits, again
+
+
+def _flags(marks: pd.DataFrame) -> np.ndarray:
+    """Of one block's anchors, in order, which are at several places."""
+    marks = marks.sort_values("part")
+    bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(marks["again"], marks["size"])]
+    return np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
+
+
+def _repeats(blocks: DataFrame, columns: list[str], windows_of: Callable[[dict], Windows | Passages]) -> DataFrame:
+    """(id, th, ranges) of the windows of all blocks that occur earlier. windows_of makes a block's windows from its columns."""
+    bits, again = _again(blocks)
 
     # 2. The windows around those, by content: their first places. A block keeps all places of its own windows beside (part -1).
     def ask_windows(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
         names = ["block", "part", "keys", "keys2", "places", "times", "own"]
-        marks = marks.sort_values("part")
-        bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(marks["again"], marks["size"])]
-        flags = np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
+        flags = _flags(marks)
         if not flags.any():
             return pd.DataFrame([], columns=names)
         row = block_rows.iloc[0].to_dict()
-        key, key2, place = Windows(row, min_words).near(np.frombuffer(row["marks"], np.uint64), flags)
+        key, key2, place = windows_of(row).near(np.frombuffer(row["marks"], np.uint64), flags)
         starts = _starts(key, key2)
         times, parts = np.diff(np.append(starts, len(key))).astype("<u4"), _parts(key[starts], bits)
         own = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((place.tobytes(), times.tobytes(), {p: a for p, a, _ in parts})))
@@ -276,7 +296,7 @@ def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         found = [(row["block"], p, key[starts][a:b].tobytes(), key2[starts][a:b].tobytes(), first[a:b].tobytes(), times[a:b].tobytes(), None) for p, a, b in parts]
         return pd.DataFrame([*found, (row["block"], -1, None, None, None, None, own)], columns=names)
 
-    lean = blocks.select("block", "who", "n", "hashes", "words", "marks")
+    lean = blocks.select("block", *columns, "marks")
     near = durable(lean.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(ask_windows, "block long, part long, keys binary, keys2 binary, places binary, times binary, own binary"))
     origins = near.where("part >= 0").select("block", "part", "keys", "keys2", "places", "times").groupBy("part").applyInPandas(_origins, "block long, part long, hits binary, places binary")
     answers = origins.unionByName(near.where("part < 0").select("block", "part", F.col("own").alias("hits"), F.lit(None).cast("binary").alias("places")))
@@ -322,41 +342,254 @@ def _later(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": pd.array(ids, "Int64"), "th": ths, "ranges": found})
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+_DRAWN = np.random.default_rng(51)
+BYTE_VALUE = _DRAWN.integers(1, 1 << 63, 256, np.uint64)
+IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Odd, so that they have inverses.
+BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        factors = np.full(n + (-n & 0xFFFFF), base, np.uint64)
+        factors[:1] = 1
+        _POWERS[base] = np.cumprod(factors, dtype=np.uint64)
+    return _POWERS[base][:n]
+
+
+def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text begins and ends, in bytes."""
+    solid = np.concatenate([[False], IN_WORD[np.frombuffer(raw, np.uint8)], [False]])
+    turns = np.flatnonzero(solid[1:] != solid[:-1])
+    return turns[::2], turns[1::2]
+
+
+def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of the bytes of each word: differences of running sums, shifted to one place by the base's inverse."""
+    sums = np.empty(len(raw) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(BYTE_VALUE[np.frombuffer(raw, np.uint8)] * _powers(BASES[2], len(raw)), out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * _powers(pow(BASES[2], -1, 1 << 64), len(raw))[starts])
+
+
+def gram_hashes(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Of each run of k words."""
+    if len(hashes) < k:
+        return np.zeros(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64)])
+    return _mix((sums[k:] - sums[:-k]) * _powers(pow(base, -1, 1 << 64), len(hashes) - k + 1))
+
+
+def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best of each `width` neighbours."""
+    size = 1
+    while size * 2 <= width:
+        x, size = best(x[:-size], x[size:]), size * 2
+    return best(x[: len(x) - (width - size)], x[width - size :])
+
+
+class Passages:
+    """The runs of PASSAGE words of a block of texts, but for those that lie in ranges already deleted."""
+
+    def __init__(self, row: dict, raw: bytes | None = None, edges: tuple[np.ndarray, np.ndarray] | None = None):
+        raw = zstandard.ZstdDecompressor().decompress(row["raw"]) if raw is None else raw
+        self.who = np.frombuffer(row["who"], PLACE)
+        n = np.frombuffer(row["n"], "<u4").astype(np.int64)
+        self.hashes = word_hashes(raw, *(edges or word_edges(raw)))
+        self.base = np.cumsum(n) - n
+        kept = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["kept"]), np.uint8), count=len(self.hashes)), dtype=np.int64)])
+        at = np.arange(max(len(self.hashes) - PASSAGE + 1, 0))
+        self.first = at[(at + PASSAGE <= np.repeat(np.cumsum(n), n)[: len(at)]) & (kept[at + PASSAGE] > kept[at])]
+        self.grams = gram_hashes(self.hashes, GRAM, BASES[0])
+        self.least = _sliding(self.grams, PASSAGE - GRAM + 1, np.minimum) if len(at) else np.zeros(0, np.uint64)
+        self.marks = self.least[self.first]
+
+    def anchors(self) -> np.ndarray:
+        """Places with no lesser hash in some passage around them: where the greatest of the passages' least ones is their own."""
+        if not len(self.first):
+            return np.zeros(0, np.int64)
+        width = PASSAGE - GRAM + 1
+        open_ = np.zeros(len(self.grams) + width - 1, np.uint64)
+        open_[self.first + width - 1] = self.marks
+        return np.flatnonzero(_sliding(open_, width, np.maximum) == self.grams)
+
+    def marked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct anchor hashes, whether they are anchors at several places, and (hash's number, text's number) of all."""
+        at = self.anchors()
+        found, which, times = np.unique(self.grams[at], return_inverse=True, return_counts=True)
+        held = np.unique(which.astype(np.int64) << 32 | (np.searchsorted(self.base, at, side="right") - 1))
+        return found, times > 1, held
+
+    def near(self, marks: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As that of Windows."""
+        first = self.first[again[np.searchsorted(marks, self.marks)]]
+        owner = np.searchsorted(self.base, first, side="right") - 1
+        place = self.who[owner]
+        place["first"] = first - self.base[owner]
+        place["last"] = place["first"] + PASSAGE - 1
+        key, key2 = gram_hashes(self.hashes, PASSAGE, BASES[0])[first], gram_hashes(_mix(self.hashes + np.uint64(1)), PASSAGE, BASES[1])[first]
+        order = _order(key, key2, place)
+        return key[order], key2[order], place[order]
+
+
+PASSAGE_BLOCK = pa.schema([("who", pa.binary()), ("n", pa.binary()), ("raw", pa.binary()), ("kept", pa.binary()), ("units", pa.int64()), ("marks", pa.binary()), ("several", pa.binary()), ("held", pa.binary())])
+
+
+def _holders(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+    """Of one block, the texts with anchors that come again."""
+    flags = _flags(marks)
+    row = block_rows.iloc[0]
+    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["held"]), "<i8")
+    who = np.frombuffer(row["who"], PLACE)[np.unique(held[flags[held >> 32]] & 0xFFFFFFFF)] if len(flags) else np.zeros(0, PLACE)
+    return pd.DataFrame({"id": pd.array([int(i) if k else None for k, i in zip(who["known"], who["id"])], "Int64"), "th": who["th"].astype(np.int64)})
+
+
+def _passage_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, anchors_only: bool = False) -> Iterator[pa.RecordBatch]:
+    """Rows of about so many bytes of text (id, text, ranges of units already deleted): the texts, which of their words are left,
+    and the anchors as in _blocks. anchors_only: instead of the texts, which of them hold which anchors."""
+    press = zstandard.ZstdCompressor(level=1)
+    who: list[tuple[int, int, int, int, int]] = []
+    raws: list[bytes] = []
+    gone: list[tuple[int, int]] = []
+    held = 0
+
+    def out() -> pa.RecordBatch:
+        nonlocal held
+        raw = b"\n".join(raws)
+        starts, ends = edges = word_edges(raw)
+        n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])))
+        left = np.ones(len(starts), bool)
+        for a, b in gone:
+            left[np.searchsorted(starts, a) : np.searchsorted(ends, b, side="right")] = False
+        row = {"who": np.array(who, PLACE).tobytes(), "n": n.astype("<u4").tobytes(), "raw": press.compress(raw), "kept": press.compress(np.packbits(left).tobytes())}
+        marks, several, held_by = Passages(row, raw, edges).marked()
+        row |= {"units": len(marks), "marks": marks.tobytes(), "several": several.astype(np.uint8).tobytes()}
+        if anchors_only:
+            row |= {"raw": None, "kept": None, "held": press.compress(held_by.astype("<i8").tobytes())}
+        who.clear()
+        raws.clear()
+        gone.clear()
+        held = 0
+        return pa.RecordBatch.from_pylist([row], PASSAGE_BLOCK)
+
+    for batch in batches:
+        for i, raw, ranges in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
+            deleted = unit_bytes(raw, ranges or [])
+            if len(raw) >= 2 * PASSAGE - 1 and deleted != [(0, len(raw))]:
+                who.append((i is not None, i or 0, np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64), 0, 0))
+                raws.append(raw)
+                gone += [(held + a, held + b) for a, b in deleted]
+                held += len(raw) + 1
+                if held >= most_bytes:
+                    yield out()
+    if who:
+        yield out()
+
+
+def unit_bytes(raw: bytes, ranges: list[int]) -> list[tuple[int, int]]:
+    """Ranges of units in bytes."""
+    if not ranges:
+        return []
+    edges = [0, *accumulate(map(len, units(raw)))]
+    return [(edges[a], edges[b + 1]) for a, b in zip(ranges[::2], ranges[1::2])]
+
+
+def word_bytes(raw: bytes, ranges: list[int]) -> list[tuple[int, int]]:
+    """Ranges of words in bytes, with the space behind them."""
+    if not ranges:
+        return []
+    edges = [*word_edges(raw)[0].tolist(), len(raw)]
+    return [(edges[a], edges[b + 1]) for a, b in zip(ranges[::2], ranges[1::2])]
+
+
+def repeated_passages(docs: DataFrame, unit_ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, th, ranges): for each text the ranges of words of its runs of PASSAGE words or more that occur earlier, wherever units end.
+
+    Runs that lie wholly in unit_ranges (of repeated_units) take no part: they are deleted, and what they repeat stays elsewhere."""
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    given = _with_ranges(text, unit_ranges, "id", "t").select("id", "t", "__ranges")
+
+    def blocks_of(df: DataFrame, anchors_only: bool) -> DataFrame:
+        kind = "who binary, n binary, raw binary, kept binary, units long, marks binary, several binary, held binary"
+        return durable(df.mapInArrow(lambda b: _passage_blocks(b, block_bytes // 2, anchors_only), kind).withColumn("block", F.monotonically_increasing_id()))
+
+    # Only texts that share an anchor with another place move on.
+    blocks = blocks_of(given, True)
+    holders = blocks.select("block", "who", "held").groupBy("block").cogroup(_again(blocks)[1].groupBy("block")).applyInPandas(_holders, "id long, th long")
+    holders = durable(holders.distinct().toDF("__id", "__th"))
+    some = given.join(sized(holders), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("t") == F.col("__th")), "left_semi")
+    return _repeats(blocks_of(some, False), ["who", "n", "raw", "kept"], Passages)
+
+
+def _with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs with their ranges (columns __id, __th, __ranges and others, durable). The texts move only if the ranges are too many to go to the texts."""
+    size = ranges.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.size(c)).alias(c) for c in ranges.columns[2:]]).first()
+    few = size["rows"] <= 200_000 and sum(size[c] or 0 for c in ranges.columns[2:]) <= 2_000_000
+    hit = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))
+    return docs.join(F.broadcast(ranges) if few else ranges, hit, "left").drop("__id", "__th")
+
+
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES, passages: bool = False) -> DataFrame:
     """The input rows with their columns; the text without the runs that occur earlier. with_counts adds n_removed (units) and n_removed_words.
 
+    Runs are of whole units; with passages also those of PASSAGE words or more, from the first word to the last wherever units end.
     Every row stays: a text that occurs earlier as a whole becomes empty. Null texts stay null. Rows that share an id are ordered by
     a hash of their text; identical rows keep the same text. An empty table gives no rows."""
-    ranges = durable(repeated_units(docs, min_words, id_col, text_col, block_bytes).select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias("__ranges")))
-    # The texts move to the ranges only if these are too many to go to the texts.
-    size = ranges.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("__ranges")).alias("n")).first()
-    few = size["rows"] <= 200_000 and (size["n"] or 0) <= 2_000_000
-    hit = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))
-    joined = docs.join(F.broadcast(ranges) if few else ranges, hit, "left").drop("__id", "__th")
+    named = lambda df, c: df.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias(c))
+    ranges = durable(named(repeated_units(docs, min_words, id_col, text_col, block_bytes), "__ranges"))
+    if passages:
+        released(docs.sparkSession)
+        more_ranges = named(repeated_passages(docs, ranges, id_col, text_col, block_bytes), "__words")
+        both = ranges.unionByName(more_ranges, allowMissingColumns=True).groupBy("__id", "__th")
+        ranges = durable(both.agg(F.first("__ranges", True).alias("__ranges"), F.first("__words", True).alias("__words")))
+    else:
+        ranges = ranges.withColumn("__words", F.lit(None).cast("array<int>"))
+    joined = _with_ranges(docs, ranges, id_col, text_col)
     own = list(docs.columns)
     place = own.index(text_col)
     more = [free_name(c, own) for c in ("n_removed", "n_removed_words")] if with_counts else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges = batch.column(batch.num_columns - 1)
+            by_unit, by_word = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             texts, gone, lost = batch.column(place), [0] * batch.num_rows, [0] * batch.num_rows
-            if ranges.null_count < batch.num_rows:
+            hit = by_unit.is_valid().to_numpy(zero_copy_only=False) | by_word.is_valid().to_numpy(zero_copy_only=False)
+            if hit.any():
                 out = texts.to_pylist()
-                for i in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                    parts, kept, at = units(out[i].encode()), [], 0
-                    r = ranges[i].as_py()
-                    for first, last in zip(r[::2], r[1::2]):
-                        kept += parts[at:first]
-                        gone[i] += last + 1 - first
-                        lost[i] += sum(len(p.split()) for p in parts[first : last + 1])
-                        at = last + 1
-                    out[i] = b"".join(kept + parts[at:]).decode()
+                for i in np.flatnonzero(hit).tolist():
+                    raw, kept, at = out[i].encode(), [], 0
+                    edges = np.array([0, *accumulate(map(len, units(raw)))])
+                    for a, b in merged(unit_bytes(raw, by_unit[i].as_py() or []) + word_bytes(raw, by_word[i].as_py() or [])):
+                        kept.append(raw[at:a])
+                        gone[i] += max(0, int(np.searchsorted(edges, b, side="right") - np.searchsorted(edges, a)) - 1)
+                        lost[i] += len(raw[a:b].split())
+                        at = b
+                    out[i] = b"".join([*kept, raw[at:]]).decode()
                 texts = pa.array(out, texts.type)
-            columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -1]]
+            columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -2]]
             if more:
                 columns += [pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*own, *more])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", `{c}` long" for c in more)
     return joined.mapInArrow(cut, kinds)
+
+
+def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The ranges in order, those that meet or overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out

@@ -28,7 +28,7 @@ QUERIES = {
     "op2_token_counts": lambda spark, sf_dir: token_counts(table(spark, sf_dir, "documents")),
     "op3_secret_scans": lambda spark, sf_dir: secret_digest(table(spark, sf_dir, "documents")),
     "op4_lm_scores": lambda spark, sf_dir: lm_scores(table(spark, sf_dir, "documents")),
-    "op5_line_dedup": lambda spark, sf_dir: line_dedup(table(spark, sf_dir, "documents"), with_counts=True).select("doc_id", "text", "n_removed", "n_removed_words"),
+    "op5_line_dedup": lambda spark, sf_dir: line_dedup(table(spark, sf_dir, "documents"), with_counts=True, passages=True).select("doc_id", "text", "n_removed", "n_removed_words"),
     "op6_best_fit_packing": lambda spark, sf_dir: packed(table(spark, sf_dir, "documents")),
     "op7_simhash": lambda spark, sf_dir: simhash_groups(table(spark, sf_dir, "documents")),
     "op8_binary_ids": lambda spark, sf_dir: binary_ids(table(spark, sf_dir, "documents")),

@@ -130,6 +130,45 @@ def test_a_passage_in_text_without_sentences_is_caught(docs_of):
     assert all(got[k].split()[:50] == given[k].split()[:50] for k in range(5))
 
 
+def words_deduped(texts, least=51):
+    """The words of each text without the runs of `least` that occur at a smaller (id, place), by trying all runs."""
+    words, seen, out = {k: (t or "").split() for k, t in texts.items()}, {}, {}
+    for k, w in sorted(words.items()):
+        gone = set()
+        for i in range(len(w) - least + 1):
+            run = tuple(w[i : i + least])
+            k0, i0 = seen.setdefault(run, (k, i))
+            if (k0, i0) != (k, i):
+                gone |= set(range(i if k0 != k else max(i, i0 + least), i + least))
+        out[k] = [x for i, x in enumerate(w) if i not in gone]
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 3000])
+def test_passages_are_found_wherever_units_end(docs_of, block):
+    """Runs of 51 to 97 words between foreign text on both sides, with and without sentences, against all runs of words."""
+    r = random.Random(21)
+    plain = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
+    given, k = {}, 0
+    for n in (50, 51, 52, 60, 75, 97):
+        for make in (plain, prose):
+            passage = make(r, n).strip() if make is prose else make(n)
+            for _ in range(3):
+                given[k] = f"{plain(r.randint(3, 28))} x{k} {passage} y{k} {plain(r.randint(3, 28))}"
+                k += 1
+    out = line_dedup.line_dedup(docs_of(list(given.items())), block_bytes=block, with_counts=True, passages=True).collect()
+    got = {x["doc_id"]: x["text"].split() for x in out}
+    runs = words_deduped(given)
+    units = {i: t.split() for i, t in deduped(given, 40).items()}
+    for i in given:
+        if len(runs[i]) < len(given[i].split()):
+            assert got[i] == runs[i], i  # what units delete lies within these runs
+        else:
+            assert got[i] == units[i], i
+    assert sum(len(runs[i]) < len(given[i].split()) for i in given) == 20
+    assert all(x["n_removed_words"] == len(given[x["doc_id"]].split()) - len(got[x["doc_id"]]) for x in out)
+
+
 def test_units_make_up_the_text():
     r = random.Random(12)
     for _ in range(200):
