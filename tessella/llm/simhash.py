@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._common import chunks, durable, id_and_text, sized
 from tessella.llm.components import components
+from tessella.llm.near_copies import linked_groups, similar_pairs
 
 BITS = 64
 SEED = 42
@@ -173,9 +174,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col:
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows whose document is the smallest of its group; of rows that share an id, one."""
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
+    """The input rows whose document is the smallest of its group; of rows that share an id, one.
+
+    similar: groups are also linked by all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     groups = durable(simhash_groups(docs, shingle, distance, id_col, text_col))
+    if similar:
+        groups = durable(linked_groups(groups, durable(similar_pairs(docs, id_col=id_col, text_col=text_col))))
     gone = durable(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
     kept = docs.join(sized(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
     twice = durable(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")))

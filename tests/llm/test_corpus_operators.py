@@ -197,6 +197,36 @@ def test_winnowing_guarantee():
 # ---- 7 ----------------------------------------------------------------------------------------------------------------
 
 
+def test_near_copies_at_a_similarity_of_0_8_go(docs_of):
+    """Against all pairs: a copy with some words changed is far beyond four bits, and goes all the same."""
+    r = random.Random(31)
+    given = {}
+    for k in range(12):
+        words = [r.choice(VOCABULARY) for _ in range(r.randint(60, 200))]
+        given[10 * k] = " ".join(words)
+        for j, changes in enumerate((1, 2, 3, 4, 6)):
+            some = list(words)
+            for at in r.sample(range(len(words)), changes):
+                some[at] = f"new{k}{j}{at}"
+            given[10 * k + j + 1] = " ".join(some)
+    given |= {500: "", 501: "a b", 502: "A  b", 503: None}
+    sets = {}
+    for k, t in given.items():
+        w = (t or "").lower().split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    prints = {k: brute_fingerprint(t) for k, t in given.items()}
+    root = {k: k for k in given}
+    for _ in range(len(given)):
+        for a in given:
+            for b in given:
+                alike = sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+                if a < b and (alike or bin(prints[a] ^ prints[b]).count("1") <= 4) and root[a] != root[b]:
+                    root[a] = root[b] = min(root[a], root[b])
+    got = sorted(x["doc_id"] for x in simhash.one_of_each(docs_of(list(given.items())), similar=True).collect())
+    assert got == [k for k in sorted(given) if root[k] == k]
+    assert len(got) < len([x for x in simhash.one_of_each(docs_of(list(given.items()))).collect()])
+
+
 def brute_fingerprint(text, k=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x20\x09-\x0d]+", low)
