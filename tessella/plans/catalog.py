@@ -177,6 +177,40 @@ def _(t):
     return pairs.join(b, "item_id").join(d, "doc_id").select("item_id", "doc_id", F.round(similarity.jaccard(F.col("bw"), F.col("dw")), 6).alias("sim"))
 
 
+def similar_sets(b: DataFrame, d: DataFrame) -> DataFrame:
+    """(item_id, doc_id, sim) of all pairs of word sets (bw, dw) with a Jaccard similarity of 0.4 or more.
+
+    Two such sets share one of the first n - ceil(0.4 n) + 1 words of each, by their count in the items: words in no item come first
+    and block nothing, so of the m words of a set that are in items the first m - ceil(0.4 n) + 1 are its blocks."""
+    often = b.select(F.explode("bw").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+
+    def blocks(sets: DataFrame, key: str, words: str) -> DataFrame:
+        each = sets.select(key, F.size(words).alias("n"), F.explode(words).alias("w")).join(often, "w")
+        ranked = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("c", "w"))).alias("x"))
+        first = F.size("x") - F.ceil(2 * F.col("n") / 5).cast("int") + 1
+        return ranked.where(first > 0).select(key, F.explode(F.slice("x", F.lit(1), first)).alias("x")).select(key, "x.w")
+
+    pairs = blocks(d, "doc_id", "dw").join(blocks(b, "item_id", "bw"), "w").select("item_id", "doc_id").distinct()
+    sim = similarity.jaccard(F.col("bw"), F.col("dw"))
+    return pairs.join(b, "item_id").join(d, "doc_id").where(sim >= 0.4).select("item_id", "doc_id", F.round(sim, 6).alias("sim"))
+
+
+@query(
+    "token_jaccard_join",
+    f"""WITH b AS (SELECT item_id, list_distinct({SQL_WORDS('text')}) AS bw FROM benchmark),
+    d AS (SELECT doc_id, list_distinct({SQL_WORDS('text')}) AS dw FROM documents),
+    bi AS (SELECT item_id, len(bw) AS nb, unnest(bw) AS w FROM b), di AS (SELECT doc_id, len(dw) AS nd, unnest(dw) AS w FROM d),
+    s AS (SELECT item_id, doc_id, count(*) AS n, any_value(nb) AS nb, any_value(nd) AS nd FROM bi JOIN di USING (w) GROUP BY item_id, doc_id)
+    SELECT item_id, doc_id, round(CAST(n AS DOUBLE) / (nb + nd - n), 6) AS sim FROM s WHERE 5 * n >= 2 * (nb + nd - n)""",
+)
+@on
+def _(t):
+    """All benchmark items and documents of similarity 0.4 or more, whatever the length of their words."""
+    b = t.benchmark.select("item_id", F.array_distinct(text.tokens("text")).alias("bw"))
+    d = t.documents.select("doc_id", F.array_distinct(text.tokens("text")).alias("dw"))
+    return similar_sets(b, d)
+
+
 SPLIT_SQL = "list_filter(list_transform(regexp_split_to_array({0}, '[,;/&]|\\b[aA][nN][dD]\\b'), lambda x: " + NORM.format("x") + "), lambda x: x <> '')"
 
 
