@@ -1,595 +1,223 @@
-"""Operator 5, line dedup: winnowed line hashes find repeated places; runs grown both ways from them are deleted where they recur."""
+"""Operator 5, line dedup: winnowed line hashes are joined by position, matches grow both ways, and the later repeated runs go.
+
+A source's own lines are of any length and have foreign text glued to them. So a line here is LINE words, from every word on: a
+passage has the same lines wherever it stands."""
 
 from __future__ import annotations
 
-import pickle
-import re
-from collections.abc import Callable, Iterator
-from itertools import accumulate
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import durable, free_name, released, sized, small_batches
-
-#: A unit ends with a line's end, or inside a line with a sentence's end, and keeps what ends it.
-CUT = re.compile(rb"[.!?]+[\"')\]]*[ \t]+|\n+")
-#: In a unit of so many words, about every CUT_EVERY-th word ends a unit too, told by its hash, so that text without sentence ends is
-#: cut alike wherever it stands.
-LONG, CUT_EVERY = 30, 16
-TOKEN = re.compile(rb"[^ \t]+[ \t]*")
-#: A run has at least so many words. Below 50, so that a passage of over 50 words counts though its first unit may hang on other text.
-MIN_WORDS = 40
-#: A passage, told by its words alone wherever units end: over 50 words.
+from tessella.llm._common import chunks, durable, free_name, fresh_path, removed, small_batches
+from tessella.llm._hashes import BASES, Runs, gram_hashes, mix, sliding, word_edges, word_hashes
+
+#: A repeated run has at least so many words: over 50.
 PASSAGE = 51
-#: A passage's fingerprint is the least hash of the runs of so many words in it.
-GRAM = 32
-
-
-def units(raw: bytes) -> list[bytes]:
-    """The text in units, which joined give the text."""
-    out, start = [], 0
-    for end in [*(m.end() for m in CUT.finditer(raw)), len(raw)]:
-        if start < end:
-            unit = raw[start:end]
-            if unit.count(b" ") < LONG:
-                out.append(unit)
-            else:
-                at = 0
-                words = TOKEN.findall(unit)
-                ends = list(accumulate(map(len, words)))
-                for i in [i for i, w in enumerate(words) if crc32(w.rstrip()) % CUT_EVERY == 0]:
-                    out.append(unit[at : ends[i]])
-                    at = ends[i]
-                if at < len(unit):
-                    out.append(unit[at:])
-        start = end
-    return out
-
-
-def measured(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash and words of every unit, units of every text). A unit's hash is that of its words; units without words count as part of the next."""
-    digest = xxhash.xxh64_intdigest
-    hashes, words, n = [], [], []
-    for raw in raws:
-        parts = [u.split() for u in units(raw)]
-        hashes += [digest(b" ".join(p)) for p in parts]
-        words += map(len, parts)
-        n.append(len(parts))
-    return np.array(hashes, np.uint64), np.array(words, np.int64), np.array(n, np.int64)
-
-
-def windows(words: np.ndarray, n: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """First and last unit of the windows inside a text: from each unit the shortest of min_words, and to each unit the shortest.
-
-    Every run of min_words or more is covered by the windows that lie in it: its units up to the last forward window's end, and the
-    rest by the backward window at its end."""
-    if not len(words):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    total = np.concatenate([[0], np.cumsum(words)])
-    ends = np.repeat(np.cumsum(n), n)
-    at = np.arange(len(words))
-    last = np.searchsorted(total, total[:-1] + min_words, side="left") - 1  # the least e with total[e + 1] - total[s] >= min_words
-    forward = (last < ends) & (words > 0)
-    first = np.searchsorted(total, total[1:] - min_words, side="right") - 1  # the greatest s with total[e + 1] - total[s] >= min_words
-    backward = (first >= ends - np.repeat(n, n)) & (words > 0)
-    both = np.unique(np.concatenate([at[forward] << 32 | last[forward], np.maximum(first, 0)[backward] << 32 | at[backward]]))
-    return both >> 32, both & 0xFFFFFFFF
-
-
-def anchors(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The unit with the least hash of each window, the rightmost of equals: the same unit wherever the window's units occur."""
-    best, least = first.copy(), hashes[first]
-    open_ = np.arange(len(first))
-    step = 0
-    while len(open_):
-        step += 1
-        open_ = open_[first[open_] + step <= last[open_]]
-        h = hashes[first[open_] + step]
-        lower = h <= least[open_]
-        best[open_[lower]] = first[open_[lower]] + step
-        least[open_[lower]] = h[lower]
-    return best
-
-
-def content(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A 64-bit key of the units in each window, in order."""
-    key = np.zeros(len(first), np.uint64)
-    open_ = np.arange(len(first))
-    step = 0
-    while len(open_):
-        x = (key[open_] ^ hashes[first[open_] + step]) * np.uint64(0x9E3779B97F4A7C15)
-        key[open_] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(step + 1)
-        step += 1
-        open_ = open_[first[open_] + step <= last[open_]]
-    return key ^ (key >> np.uint64(32))
-
-
-def second_key(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Another key of the same, so that the two together tell any windows apart."""
-    return content(hashes * np.uint64(0xD6E8FEB86659FD93) ^ (hashes >> np.uint64(32)), first, last)
-
-
-#: Where a run lies; places are ordered by these, in this order (a null id is the least).
-PLACE = np.dtype([("known", "u1"), ("id", "<i8"), ("th", "<i8"), ("first", "<i4"), ("last", "<i4")])
-BLOCK_BYTES = 8 << 20
-#: Entries of all blocks that one part of a key space has about.
-PART_ROWS = 1 << 20
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], min_words: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Rows of about so many bytes of text: for each text who it is and how many units it has, all units' hashes and words, and the
-    sorted distinct hashes of the anchors, with whether they are anchors at several places."""
-    press = zstandard.ZstdCompressor(level=1)
-    ids: list[int | None] = []
-    raws: list[bytes] = []
-    held = 0
-
-    def out() -> pa.RecordBatch:
-        nonlocal held
-        hashes, words, n = measured(raws)
-        who = np.zeros(len(ids), PLACE)
-        who["known"] = [i is not None for i in ids]
-        who["id"] = [i or 0 for i in ids]
-        who["th"] = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], np.uint64).view(np.int64)
-        got = {"who": who.tobytes(), "n": n.astype("<u4").tobytes(), "hashes": hashes.tobytes(), "words": press.compress(words.astype("<u4").tobytes()), "units": len(hashes)}
-        marks, several = Windows(got, min_words).marked()
-        got |= {"marks": marks.tobytes(), "several": several.astype(np.uint8).tobytes()}
-        ids.clear()
-        raws.clear()
-        held = 0
-        return pa.RecordBatch.from_pylist([got])
-
-    for batch in batches:
-        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            ids.append(i)
-            raws.append(raw)
-            held += len(raws[-1]) + 64
-            if held >= most_bytes:
-                yield out()
-    if ids:
-        yield out()
-
-
-class Windows:
-    """The windows of a block: their first and last unit in the block, the text they are in, their anchors' hashes."""
-
-    def __init__(self, row: dict, min_words: int):
-        self.who = np.frombuffer(row["who"], PLACE)
-        self.hashes = np.frombuffer(row["hashes"], np.uint64)
-        n = np.frombuffer(row["n"], "<u4").astype(np.int64)
-        words = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]), "<u4").astype(np.int64)
-        self.first, self.last = windows(words, n, min_words)
-        self.owner = np.searchsorted(np.cumsum(n), self.first, side="right")
-        self.base = np.cumsum(n) - n
-        self.at = anchors(self.hashes, self.first, self.last)
-        self.marks = self.hashes[self.at]
-
-    def marked(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted distinct anchor hashes, and whether they are anchors at several places."""
-        found, times = np.unique(self.hashes[np.unique(self.at)], return_counts=True)
-        return found, times > 1
-
-    def near(self, marks: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, second key, place) of the windows whose anchors are said to come again, sorted by key, then by place."""
-        keep = again[np.searchsorted(marks, self.marks)]
-        first, last, owner = self.first[keep], self.last[keep], self.owner[keep]
-        place = self.who[owner]
-        place["first"], place["last"] = first - self.base[owner], last - self.base[owner]
-        key, key2 = content(self.hashes, first, last), second_key(self.hashes, first, last)
-        order = _order(key, key2, place)
-        return key[order], key2[order], place[order]
-
-
-def _order(key: np.ndarray, key2: np.ndarray, place: np.ndarray) -> np.ndarray:
-    return np.lexsort((place["last"], place["first"], place["th"], place["id"], place["known"], key2, key))
-
-
-def _starts(key: np.ndarray, key2: np.ndarray) -> np.ndarray:
-    """Where a new key begins, in sorted keys."""
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (key2[1:] != key2[:-1])
-    return np.flatnonzero(new)
-
-
-def _parts(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(part, from, to) of the sorted keys by their highest bits, without empty ones."""
-    edges = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-    return [(p, a, b) for p, (a, b) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if b > a]
-
-
-def _recurring(parts: pd.DataFrame) -> pd.DataFrame:
-    """Of one part of the anchors: for each block, which of those it named are at another place too."""
-    marks = [np.frombuffer(x, np.uint64) for x in parts["marks"]]
-    several = np.concatenate([np.frombuffer(x, np.uint8) for x in parts["several"]])
-    _, back, times = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
-    again = times > 1
-    again[back[several > 0]] = True
-    cut = np.cumsum([len(m) for m in marks])[:-1]
-    return pd.DataFrame({"block": parts["block"], "part": parts["part"], "again": [np.packbits(x).tobytes() for x in np.split(again[back], cut)], "size": [len(m) for m in marks]})
-
-
-def _origins(parts: pd.DataFrame) -> pd.DataFrame:
-    """Of one part of the windows: for each block, which of those it named recur (numbers in the part), and their first places."""
-    keys = [np.frombuffer(x, np.uint64) for x in parts["keys"]]
-    key, key2 = np.concatenate(keys), np.concatenate([np.frombuffer(x, np.uint64) for x in parts["keys2"]])
-    place = np.concatenate([np.frombuffer(x, PLACE) for x in parts["places"]])
-    times = np.concatenate([np.frombuffer(x, "<u4") for x in parts["times"]]).astype(np.int64)
-    order = _order(key, key2, place)
-    starts = _starts(key[order], key2[order])
-    group = np.empty(len(key), np.int64)
-    group[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-    total = np.bincount(group, weights=times, minlength=len(starts)) if len(key) else times
-    first = place[order][starts]
-    out, done = [], 0
-    for block, part, mine in zip(parts["block"], parts["part"], keys):
-        g = group[done : done + len(mine)]
-        hit = np.flatnonzero(total[g] > 1)
-        if len(hit):
-            out.append((block, part, hit.astype("<u4").tobytes(), first[g[hit]].tobytes()))
-        done += len(mine)
-    return pd.DataFrame(out, columns=["block", "part", "hits", "places"])
-
-
-def repeated_units(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, th, ranges): for each text with something to delete, the ranges (first and last unit) of its runs that occur earlier.
-
-    A run is a sequence of units of min_words or more; earlier means a smaller (id, hash of the text), or the same text further
-    up and not overlapping. th tells apart rows that share an id; identical rows are one text here.
-
-    Blocks of texts name each anchor, and later each window around a recurring anchor, once to the part of the key space that it
-    is in, and get an answer: however often a passage occurs, a part hears of it once from each block."""
-    small_batches(docs.sparkSession)
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    kind = "who binary, n binary, hashes binary, words binary, units long, marks binary, several binary"
-    blocks = durable(text.mapInArrow(lambda b: _blocks(b, min_words, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
-    return _repeats(blocks, ["who", "n", "hashes", "words"], lambda row: Windows(row, min_words))
+#: Words of a line. Each window of PASSAGE words has PASSAGE - LINE + 1 lines, and the least of their hashes is a fingerprint.
+LINE = 24
+BLOCK_BYTES = 4 << 20
 
 
-def _again(blocks: DataFrame) -> tuple[int, DataFrame]:
-    """(bits of the key space's parts, for each block which of its anchors are at several places)."""
-    bits = max(3, int((blocks.agg(F.sum("units")).first()[0] or 1) / PART_ROWS).bit_length())
+class Block:
+    """The words of some texts, their lines' hashes, and the least line of every window."""
 
-    # 1. Fingerprints: the anchors. Which of them are at several places?
-    def ask_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                marks, several = np.frombuffer(row["marks"], np.uint64), row["several"]
-                found = [{"block": row["block"], "part": p, "marks": marks[a:b].tobytes(), "several": several[a:b]} for p, a, b in _parts(marks, bits)]
-                if found:
-                    yield pa.RecordBatch.from_pylist(found)
-
-    asked = blocks.select("block", "marks", "several").mapInArrow(ask_marks, "block long, part long, marks binary, several binary")
-    again = asked.groupBy("part").applyInPandas(_recurring, "block long, part long, again binary, size long")
-    return bits, again
-
-
-def _flags(marks: pd.DataFrame) -> np.ndarray:
-    """Of one block's anchors, in order, which are at several places."""
-    marks = marks.sort_values("part")
-    bits_of = [np.unpackbits(np.frombuffer(x, np.uint8), count=k).astype(bool) for x, k in zip(marks["again"], marks["size"])]
-    return np.concatenate(bits_of) if bits_of else np.zeros(0, bool)
-
-
-def _repeats(blocks: DataFrame, columns: list[str], windows_of: Callable[[dict], Windows | Passages]) -> DataFrame:
-    """(id, th, ranges) of the windows of all blocks that occur earlier. windows_of makes a block's windows from its columns."""
-    bits, again = _again(blocks)
-
-    # 2. The windows around those, by content: their first places. A block keeps all places of its own windows beside (part -1).
-    def ask_windows(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        names = ["block", "part", "keys", "keys2", "places", "times", "own"]
-        flags = _flags(marks)
-        if not flags.any():
-            return pd.DataFrame([], columns=names)
-        row = block_rows.iloc[0].to_dict()
-        key, key2, place = windows_of(row).near(np.frombuffer(row["marks"], np.uint64), flags)
-        starts = _starts(key, key2)
-        times, parts = np.diff(np.append(starts, len(key))).astype("<u4"), _parts(key[starts], bits)
-        own = zstandard.ZstdCompressor(level=1).compress(pickle.dumps((place.tobytes(), times.tobytes(), {p: a for p, a, _ in parts})))
-        first = place[starts]
-        found = [(row["block"], p, key[starts][a:b].tobytes(), key2[starts][a:b].tobytes(), first[a:b].tobytes(), times[a:b].tobytes(), None) for p, a, b in parts]
-        return pd.DataFrame([*found, (row["block"], -1, None, None, None, None, own)], columns=names)
-
-    lean = blocks.select("block", *columns, "marks")
-    near = durable(lean.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(ask_windows, "block long, part long, keys binary, keys2 binary, places binary, times binary, own binary"))
-    origins = near.where("part >= 0").select("block", "part", "keys", "keys2", "places", "times").groupBy("part").applyInPandas(_origins, "block long, part long, hits binary, places binary")
-    answers = origins.unionByName(near.where("part < 0").select("block", "part", F.col("own").alias("hits"), F.lit(None).cast("binary").alias("places")))
-    found = answers.groupBy("block").applyInPandas(_later, "id long, th long, ranges array<int>")
-    return found.groupBy("id", "th").agg(F.first("ranges").alias("ranges"))  # identical rows in several blocks say the same
-
-
-def _later(rows: pd.DataFrame) -> pd.DataFrame:
-    """3. Of one block's windows, every place that isn't the first is a repeat: the ranges to delete, by text."""
-    empty = pd.DataFrame({"id": pd.array([], "Int64"), "th": np.zeros(0, np.int64), "ranges": pd.Series([], dtype=object)})
-    rows = rows.sort_values("part")
-    if len(rows) < 2:
-        return empty
-    places, times, from_part = pickle.loads(zstandard.ZstdDecompressor().decompress(rows["hits"].iloc[0]))  # written by ask_windows
-    place, sizes = np.frombuffer(places, PLACE), np.frombuffer(times, "<u4").astype(np.int64)
-    which = np.concatenate([from_part[p] + np.frombuffer(x, "<u4").astype(np.int64) for p, x in zip(rows["part"].iloc[1:], rows["hits"].iloc[1:])])
-    origin = np.concatenate([np.frombuffer(x, PLACE) for x in rows["places"].iloc[1:]])
-    of = np.full(len(sizes), -1, np.int64)
-    of[which] = np.arange(len(which))
-    of = np.repeat(of, sizes)
-    place, origin = place[of >= 0], origin[of[of >= 0]]
-    same_text = (place["known"] == origin["known"]) & (place["id"] == origin["id"]) & (place["th"] == origin["th"])
-    first = np.where(same_text, np.maximum(place["first"], origin["last"] + 1), place["first"])
-    gone = (place != origin) & (first <= place["last"])
-    place, first = place[gone], first[gone]
-    if not len(place):
-        return empty
-    order = np.lexsort((first, place["th"], place["id"], place["known"]))
-    place, first = place[order], first[order]
-    new = (place["id"][1:] != place["id"][:-1]) | (place["th"][1:] != place["th"][:-1]) | (place["known"][1:] != place["known"][:-1])
-    edges = np.flatnonzero(np.append(True, new)).tolist()
-    ids, ths, found = [], [], []
-    for a, b in zip(edges, [*edges[1:], len(place)]):
-        ranges: list[int] = []
-        for x, y in zip(first[a:b].tolist(), place["last"][a:b].tolist()):
-            if ranges and x <= ranges[-1] + 1:
-                ranges[-1] = max(ranges[-1], y)
-            else:
-                ranges += [x, y]
-        ids.append(int(place["id"][a]) if place["known"][a] else None)
-        ths.append(int(place["th"][a]))
-        found.append(ranges)
-    return pd.DataFrame({"id": pd.array(ids, "Int64"), "th": ths, "ranges": found})
-
-
-_DRAWN = np.random.default_rng(51)
-BYTE_VALUE = _DRAWN.integers(1, 1 << 63, 256, np.uint64)
-IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Odd, so that they have inverses.
-BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    if base not in _POWERS or len(_POWERS[base]) < n:
-        factors = np.full(n + (-n & 0xFFFFF), base, np.uint64)
-        factors[:1] = 1
-        _POWERS[base] = np.cumprod(factors, dtype=np.uint64)
-    return _POWERS[base][:n]
-
-
-def word_edges(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Where each word of a text begins and ends, in bytes."""
-    solid = np.concatenate([[False], IN_WORD[np.frombuffer(raw, np.uint8)], [False]])
-    turns = np.flatnonzero(solid[1:] != solid[:-1])
-    return turns[::2], turns[1::2]
-
-
-def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Of the bytes of each word: differences of running sums, shifted to one place by the base's inverse."""
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_VALUE[np.frombuffer(raw, np.uint8)] * _powers(BASES[2], len(raw)), out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * _powers(pow(BASES[2], -1, 1 << 64), len(raw))[starts])
-
-
-def gram_hashes(hashes: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Of each run of k words."""
-    if len(hashes) < k:
-        return np.zeros(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(base, len(hashes)), dtype=np.uint64)])
-    return _mix((sums[k:] - sums[:-k]) * _powers(pow(base, -1, 1 << 64), len(hashes) - k + 1))
-
-
-def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
-    """best of each `width` neighbours."""
-    size = 1
-    while size * 2 <= width:
-        x, size = best(x[:-size], x[size:]), size * 2
-    return best(x[: len(x) - (width - size)], x[width - size :])
-
-
-class Passages:
-    """The runs of PASSAGE words of a block of texts, but for those that lie in ranges already deleted."""
-
-    def __init__(self, row: dict, raw: bytes | None = None, edges: tuple[np.ndarray, np.ndarray] | None = None):
-        raw = zstandard.ZstdDecompressor().decompress(row["raw"]) if raw is None else raw
-        self.who = np.frombuffer(row["who"], PLACE)
-        n = np.frombuffer(row["n"], "<u4").astype(np.int64)
-        self.hashes = word_hashes(raw, *(edges or word_edges(raw)))
-        self.base = np.cumsum(n) - n
-        kept = np.concatenate([[0], np.cumsum(np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["kept"]), np.uint8), count=len(self.hashes)), dtype=np.int64)])
-        at = np.arange(max(len(self.hashes) - PASSAGE + 1, 0))
-        self.first = at[(at + PASSAGE <= np.repeat(np.cumsum(n), n)[: len(at)]) & (kept[at + PASSAGE] > kept[at])]
-        self.grams = gram_hashes(self.hashes, GRAM, BASES[0])
-        self.least = _sliding(self.grams, PASSAGE - GRAM + 1, np.minimum) if len(at) else np.zeros(0, np.uint64)
-        self.marks = self.least[self.first]
-
-    def anchors(self) -> np.ndarray:
-        """Places with no lesser hash in some passage around them: where the greatest of the passages' least ones is their own."""
-        if not len(self.first):
-            return np.zeros(0, np.int64)
-        width = PASSAGE - GRAM + 1
-        open_ = np.zeros(len(self.grams) + width - 1, np.uint64)
-        open_[self.first + width - 1] = self.marks
-        return np.flatnonzero(_sliding(open_, width, np.maximum) == self.grams)
-
-    def marked(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sorted distinct anchor hashes, whether they are anchors at several places, and (hash's number, text's number) of all."""
-        at = self.anchors()
-        found, which, times = np.unique(self.grams[at], return_inverse=True, return_counts=True)
-        held = np.unique(which.astype(np.int64) << 32 | (np.searchsorted(self.base, at, side="right") - 1))
-        return found, times > 1, held
-
-    def near(self, marks: np.ndarray, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """As that of Windows."""
-        first = self.first[again[np.searchsorted(marks, self.marks)]]
-        owner = np.searchsorted(self.base, first, side="right") - 1
-        place = self.who[owner]
-        place["first"] = first - self.base[owner]
-        place["last"] = place["first"] + PASSAGE - 1
-        key, key2 = gram_hashes(self.hashes, PASSAGE, BASES[0])[first], gram_hashes(_mix(self.hashes + np.uint64(1)), PASSAGE, BASES[1])[first]
-        order = _order(key, key2, place)
-        return key[order], key2[order], place[order]
-
-
-PASSAGE_BLOCK = pa.schema([("who", pa.binary()), ("n", pa.binary()), ("raw", pa.binary()), ("kept", pa.binary()), ("units", pa.int64()), ("marks", pa.binary()), ("several", pa.binary()), ("held", pa.binary())])
-
-
-def _holders(block_rows: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    """Of one block, the texts with anchors that come again."""
-    flags = _flags(marks)
-    row = block_rows.iloc[0]
-    held = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["held"]), "<i8")
-    who = np.frombuffer(row["who"], PLACE)[np.unique(held[flags[held >> 32]] & 0xFFFFFFFF)] if len(flags) else np.zeros(0, PLACE)
-    return pd.DataFrame({"id": pd.array([int(i) if k else None for k, i in zip(who["known"], who["id"])], "Int64"), "th": who["th"].astype(np.int64)})
-
-
-def _passage_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int, anchors_only: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of about so many bytes of text (id, text, ranges of units already deleted): the texts, which of their words are left,
-    and the anchors as in _blocks. anchors_only: instead of the texts, which of them hold which anchors."""
-    press = zstandard.ZstdCompressor(level=1)
-    who: list[tuple[int, int, int, int, int]] = []
-    raws: list[bytes] = []
-    gone: list[tuple[int, int]] = []
-    held = 0
-
-    def out() -> pa.RecordBatch:
-        nonlocal held
+    def __init__(self, raws: list[bytes], passage: int, line: int):
         raw = b"\n".join(raws)
-        starts, ends = edges = word_edges(raw)
-        n = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)])))
-        left = np.ones(len(starts), bool)
-        for a, b in gone:
-            left[np.searchsorted(starts, a) : np.searchsorted(ends, b, side="right")] = False
-        row = {"who": np.array(who, PLACE).tobytes(), "n": n.astype("<u4").tobytes(), "raw": press.compress(raw), "kept": press.compress(np.packbits(left).tobytes())}
-        marks, several, held_by = Passages(row, raw, edges).marked()
-        row |= {"units": len(marks), "marks": marks.tobytes(), "several": several.astype(np.uint8).tobytes()}
-        if anchors_only:
-            row |= {"raw": None, "kept": None, "held": press.compress(held_by.astype("<i8").tobytes())}
-        who.clear()
-        raws.clear()
-        gone.clear()
-        held = 0
-        return pa.RecordBatch.from_pylist([row], PASSAGE_BLOCK)
-
-    for batch in batches:
-        for i, raw, ranges in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            deleted = unit_bytes(raw, ranges or [])
-            if len(raw) >= 2 * PASSAGE - 1 and deleted != [(0, len(raw))]:
-                who.append((i is not None, i or 0, np.uint64(xxhash.xxh64_intdigest(raw, 42)).view(np.int64), 0, 0))
-                raws.append(raw)
-                gone += [(held + a, held + b) for a, b in deleted]
-                held += len(raw) + 1
-                if held >= most_bytes:
-                    yield out()
-    if who:
-        yield out()
-
-
-def unit_bytes(raw: bytes, ranges: list[int]) -> list[tuple[int, int]]:
-    """Ranges of units in bytes."""
-    if not ranges:
-        return []
-    edges = [0, *accumulate(map(len, units(raw)))]
-    return [(edges[a], edges[b + 1]) for a, b in zip(ranges[::2], ranges[1::2])]
-
-
-def word_bytes(raw: bytes, ranges: list[int]) -> list[tuple[int, int]]:
-    """Ranges of words in bytes, with the space behind them."""
-    if not ranges:
-        return []
-    edges = [*word_edges(raw)[0].tolist(), len(raw)]
-    return [(edges[a], edges[b + 1]) for a, b in zip(ranges[::2], ranges[1::2])]
-
-
-def repeated_passages(docs: DataFrame, unit_ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, th, ranges): for each text the ranges of words of its runs of PASSAGE words or more that occur earlier, wherever units end.
-
-    Runs that lie wholly in unit_ranges (of repeated_units) take no part: they are deleted, and what they repeat stays elsewhere."""
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    given = _with_ranges(text, unit_ranges, "id", "t").select("id", "t", "__ranges")
+        starts, ends = word_edges(raw)
+        edges = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
+        self.passage, self.line, self.width = passage, line, passage - line + 1
+        self.hashes = word_hashes(raw, starts, ends)
+        self.base, self.n = edges[:-1], np.diff(edges)
+        self.lines = gram_hashes(self.hashes, line, BASES[0])
+        at = np.arange(max(len(self.hashes) - passage + 1, 0))
+        self.windows = at[at + passage <= np.repeat(edges[1:], self.n)[: len(at)]]
+        self.least = sliding(self.lines, self.width, np.minimum)[self.windows] if len(at) else np.zeros(0, np.uint64)
+
+    def fingerprints(self) -> np.ndarray:
+        """The lines that are the least of some window: where the greatest of the least ones around is the line's own."""
+        if not len(self.windows):
+            return np.zeros(0, np.int64)
+        around = np.zeros(len(self.lines) + self.width - 1, np.uint64)
+        around[self.windows + self.width - 1] = self.least
+        return np.flatnonzero(sliding(around, self.width, np.maximum) == self.lines)
+
+    def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first and last word that a window around the line can reach, keys of the words from the first on and to the last)."""
+        text = np.searchsorted(self.base, at, side="right") - 1
+        lo = np.maximum(at - (self.width - 1), self.base[text])
+        end = np.minimum(at + self.passage, self.base[text] + self.n[text])
+        runs = Runs(mix(self.hashes + np.uint64(1)), BASES[1])
+        return text, lo, end - 1, runs.of(lo, at + self.line), runs.of(at, end)
+
+    def around(self, at: np.ndarray) -> np.ndarray:
+        """The windows of which one of these lines is the least."""
+        own = np.zeros(len(self.lines), bool)
+        own[at] = True
+        reach = np.concatenate([[0], np.cumsum(own)])
+        near = np.flatnonzero(reach[self.windows + self.width] > reach[self.windows])
+        first = self.windows[near]
+        steps = np.arange(self.width)
+        hit = [f[(own[i] & (self.lines[i] == h[:, None])).any(axis=1)] for f, h in _slices(first, self.least[near]) for i in [f[:, None] + steps]]
+        return np.concatenate(hit) if hit else first
+
+    def keys(self, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return gram_hashes(self.hashes, self.passage, BASES[0])[first], gram_hashes(mix(self.hashes + np.uint64(1)), self.passage, BASES[1])[first]
+
+
+def _slices(a: np.ndarray, b: np.ndarray, rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, len(a), rows):
+        yield a[i : i + rows], b[i : i + rows]
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], block_bytes: int, passage: int) -> Iterator[tuple[np.ndarray, list[bytes], pa.RecordBatch]]:
+    """(rows, texts, batch) of the texts that can hold a passage."""
+    for batch in chunks(batches, block_bytes):
+        raws = batch.column(1).cast(pa.binary()).to_pylist()
+        rows = [i for i, raw in enumerate(raws) if len(raw) >= 2 * passage - 1]
+        if rows:
+            yield np.array(rows), [raws[i] for i in rows], batch
+
 
-    def blocks_of(df: DataFrame, anchors_only: bool) -> DataFrame:
-        kind = "who binary, n binary, raw binary, kept binary, units long, marks binary, several binary, held binary"
-        return durable(df.mapInArrow(lambda b: _passage_blocks(b, block_bytes // 2, anchors_only), kind).withColumn("block", F.monotonically_increasing_id()))
+PLACE = "id long, th long"
 
-    # Only texts that share an anchor with another place move on.
-    blocks = blocks_of(given, True)
-    holders = blocks.select("block", "who", "held").groupBy("block").cogroup(_again(blocks)[1].groupBy("block")).applyInPandas(_holders, "id long, th long")
-    holders = durable(holders.distinct().toDF("__id", "__th"))
-    some = given.join(sized(holders), F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("t") == F.col("__th")), "left_semi")
-    return _repeats(blocks_of(some, False), ["who", "n", "raw", "kept"], Passages)
 
+def fingerprints(text: DataFrame, passage: int, line: int, block_bytes: int) -> DataFrame:
+    """Of (id, t): (h, a, b, id, th, at, lo, hi) for every fingerprint: its hash, the keys of its surroundings to the left and to the
+    right, the text it is in, its first word, and the words that windows around it can reach."""
 
-def _with_ranges(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with their ranges (columns __id, __th, __ranges and others, durable). The texts move only if the ranges are too many to go to the texts."""
-    size = ranges.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(F.size(c)).alias(c) for c in ranges.columns[2:]]).first()
-    few = size["rows"] <= 200_000 and sum(size[c] or 0 for c in ranges.columns[2:]) <= 2_000_000
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raws, batch in _texts(batches, block_bytes, passage):
+            block = Block(raws, passage, line)
+            at = block.fingerprints()
+            of, lo, hi, a, b = block.surroundings(at)
+            th = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], np.uint64)
+            words = [pa.array((x - block.base[of]).astype(np.int32)) for x in (at, lo, hi)]
+            ids = batch.column(0).take(pa.array(rows[of]))
+            yield pa.RecordBatch.from_arrays([_signed(block.lines[at]), _signed(a), _signed(b), ids, _signed(th[of]), *words], ["h", "a", "b", "id", "th", "at", "lo", "hi"])
+
+    return text.mapInArrow(run, f"h long, a long, b long, {PLACE}, at int, lo int, hi int")
+
+
+def window_keys(asked: DataFrame, passage: int, line: int, block_bytes: int) -> DataFrame:
+    """Of (id, t, th, ats): (k1, k2, id, th, at) for every window of which a line that begins at one of `ats` is the least."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, raws, batch in _texts(batches, block_bytes, passage):
+            block = Block(raws, passage, line)
+            ats = batch.column(3).take(pa.array(rows)).to_pylist()
+            first = block.around(np.concatenate([np.array(x, np.int64) + b for x, b in zip(ats, block.base.tolist())]))
+            of = np.searchsorted(block.base, first, side="right") - 1
+            k1, k2 = block.keys(first)
+            there = pa.array(rows[of])
+            yield pa.RecordBatch.from_arrays([_signed(k1), _signed(k2), batch.column(0).take(there), batch.column(2).take(there), pa.array((first - block.base[of]).astype(np.int32))], ["k1", "k2", "id", "th", "at"])
+
+    return asked.mapInArrow(run, f"k1 long, k2 long, {PLACE}, at int")
+
+
+def _later(lo: str, hi: str, passage: int) -> tuple[Column, Column]:
+    """(whether a place isn't the first, the words of it that go): if it overlaps the first, only what lies beyond that."""
+    same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
+    far = F.col("at") - F.col("first.at")
+    beyond = F.when(same & (far < passage), F.col(lo) + passage - far).otherwise(F.col(lo))
+    return ~same | (far != 0), F.struct(beyond.alias("lo"), F.col(hi).alias("hi"))
+
+
+def repeated_runs(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(id, th, ranges), durable: for each text the ranges (first and last word) of its runs of `passage` words or more that occur earlier.
+
+    Earlier means a smaller (id, hash of the text), or the same text further up; a null id is the least. th tells apart rows that
+    share an id; identical rows are one text here.
+
+    1. Fingerprints, and which of their hashes are at several places.
+    2. Places with the same fingerprint and the same surroundings as far as a window reaches to both sides: the match grows to the
+       whole of them in all places but the first. Each place meets the first one only, so a passage in a third of all texts costs a row a place.
+    3. A fingerprint in several surroundings: of each, the first place's windows meet by their words, as far left and right as they agree.
+    Fingerprints overlap, so neighbouring matches make up the whole run."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    path = fresh_path(spark, "fingerprints")
+    fingerprints(text, passage, line, block_bytes).write.parquet(path)
+    found = spark.read.parquet(path)
+    often = durable(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    met = durable(found.join(often, "h"))
+    removed(spark, path)
+
+    place = F.struct("id", "th", "at", "lo", "hi")
+    classes = durable(met.groupBy("h", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
+    copies = met.join(classes.where("c > 1").select("h", "a", "b", "first"), ["h", "a", "b"])
+    is_later, words = _later("lo", "hi", passage)
+    copied = copies.where(is_later).select("id", "th", words.alias("r"))
+
+    several = durable(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
+    asked = classes.join(several, "h").groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_set("first.at").alias("ats"))
+    asked = with_lists(text, durable(asked), "id", "t", how="inner").select("id", "t", F.xxhash64("t").alias("th"), "ats")
+    windows = durable(window_keys(asked, passage, line, block_bytes).withColumn("hi", F.col("at") + (passage - 1)))
+    firsts = durable(windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    is_later, words = _later("at", "hi", passage)
+    grown = windows.join(firsts, ["k1", "k2"]).where(is_later).select("id", "th", words.alias("r"))
+
+    each = copied.unionByName(grown).select("id", "th", "r.lo", "r.hi").distinct()  # a text's own ranges, however often its row is repeated
+    order = Window.partitionBy("id", "th").orderBy("lo", "hi")
+    reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    each = each.withColumn("new", F.when(F.col("lo") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    joined = each.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("id", "th")
+    return durable(joined.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
+
+
+def with_lists(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str, how: str = "left") -> DataFrame:
+    """docs with the lists of (__id, __th, list), durable and unique. The texts move only if the lists are too many to go to the texts."""
+    name = lists.columns[2]
+    size = lists.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size(name)).alias("entries")).first()
+    few = size["rows"] <= 200_000 and (size["entries"] or 0) <= 2_000_000
     hit = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__th"))
-    return docs.join(F.broadcast(ranges) if few else ranges, hit, "left").drop("__id", "__th")
-
-
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES, passages: bool = False) -> DataFrame:
-    """The input rows with their columns; the text without the runs that occur earlier. with_counts adds n_removed (units) and n_removed_words.
-
-    Runs are of whole units; with passages also those of PASSAGE words or more, from the first word to the last wherever units end.
-    Every row stays: a text that occurs earlier as a whole becomes empty. Null texts stay null. Rows that share an id are ordered by
-    a hash of their text; identical rows keep the same text. An empty table gives no rows."""
-    named = lambda df, c: df.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("ranges").alias(c))
-    ranges = durable(named(repeated_units(docs, min_words, id_col, text_col, block_bytes), "__ranges"))
-    if passages:
-        released(docs.sparkSession)
-        more_ranges = named(repeated_passages(docs, ranges, id_col, text_col, block_bytes), "__words")
-        both = ranges.unionByName(more_ranges, allowMissingColumns=True).groupBy("__id", "__th")
-        ranges = durable(both.agg(F.first("__ranges", True).alias("__ranges"), F.first("__words", True).alias("__words")))
-    else:
-        ranges = ranges.withColumn("__words", F.lit(None).cast("array<int>"))
-    joined = _with_ranges(docs, ranges, id_col, text_col)
+    return docs.join(F.broadcast(lists) if few else lists, hit, how).drop("__id", "__th")
+
+
+def line_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text", with_counts: bool = False, block_bytes: int = BLOCK_BYTES, line: int | None = None) -> DataFrame:
+    """The input rows with their columns; the text without its runs of `passage` words or more that occur earlier, wherever they stand.
+    with_counts adds n_removed (runs) and n_removed_words.
+
+    A run goes with the white space behind each of its words. Every row stays: a text that occurs earlier as a whole becomes empty
+    but for white space before its first word. Null texts stay null. Rows that share an id are ordered by a hash of their text;
+    identical rows keep the same text. An empty table gives no rows."""
+    line = line or min(LINE, max(1, passage // 2))
+    ranges = repeated_runs(docs, passage, line, id_col, text_col, block_bytes).toDF("__id", "__th", "__ranges")
+    joined = with_lists(docs, ranges, id_col, text_col)
     own = list(docs.columns)
     place = own.index(text_col)
     more = [free_name(c, own) for c in ("n_removed", "n_removed_words")] if with_counts else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            by_unit, by_word = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            texts, gone, lost = batch.column(place), [0] * batch.num_rows, [0] * batch.num_rows
-            hit = by_unit.is_valid().to_numpy(zero_copy_only=False) | by_word.is_valid().to_numpy(zero_copy_only=False)
-            if hit.any():
+            found = batch.column(batch.num_columns - 1)
+            texts, runs, lost = batch.column(place), [0] * batch.num_rows, [0] * batch.num_rows
+            hit = np.flatnonzero(found.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            if hit:
                 out = texts.to_pylist()
-                for i in np.flatnonzero(hit).tolist():
+                for i in hit:
                     raw, kept, at = out[i].encode(), [], 0
-                    edges = np.array([0, *accumulate(map(len, units(raw)))])
-                    for a, b in merged(unit_bytes(raw, by_unit[i].as_py() or []) + word_bytes(raw, by_word[i].as_py() or [])):
-                        kept.append(raw[at:a])
-                        gone[i] += max(0, int(np.searchsorted(edges, b, side="right") - np.searchsorted(edges, a)) - 1)
-                        lost[i] += len(raw[a:b].split())
-                        at = b
+                    starts = [*word_edges(raw)[0].tolist(), len(raw)]
+                    for r in found[i].as_py():
+                        kept.append(raw[at : starts[r["lo"]]])
+                        at = starts[r["hi"] + 1]
+                        runs[i] += 1
+                        lost[i] += r["hi"] - r["lo"] + 1
                     out[i] = b"".join([*kept, raw[at:]]).decode()
                 texts = pa.array(out, texts.type)
-            columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -2]]
+            columns = [*batch.columns[:place], texts, *batch.columns[place + 1 : -1]]
             if more:
-                columns += [pa.array(gone, pa.int64()), pa.array(lost, pa.int64())]
+                columns += [pa.array(runs, pa.int64()), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*own, *more])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", `{c}` long" for c in more)
     return joined.mapInArrow(cut, kinds)
-
-
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The ranges in order, those that meet or overlap as one."""
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm._common import chunks, durable, id_and_text, released, sized
 from tessella.llm.components import components
-from tessella.llm.line_dedup import BASES, gram_hashes, word_edges, word_hashes
+from tessella.llm._hashes import BASES, gram_hashes, word_edges, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles in so many texts of one batch are common, and come last in the order; the driver holds at most so many of them.

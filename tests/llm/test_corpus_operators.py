@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import components, line_dedup, lm_scores, mixing, simhash
+from tessella.llm import _hashes, components, line_dedup, lm_scores, mixing, simhash
 
 rnd = random.Random(11)
 VOCABULARY = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
@@ -60,120 +60,98 @@ def test_scores_equal_brute_force(docs_of, texts, order, min_count, block):
 # ---- 5 ----------------------------------------------------------------------------------------------------------------
 
 
-def units_of(text):
-    return [(u, b" ".join(u.split()), len(u.split())) for u in line_dedup.units((text or "").encode())]
-
-
-def deduped(texts, least):
-    """Every run of `least` words or more that occurs at a smaller (id, place), by trying all runs."""
-    units = {k: units_of(t) for k, t in texts.items() if t is not None}
-    runs = collections.defaultdict(list)
-    for k, u in units.items():
-        for a in range(len(u)):
-            for step in (1, -1):
-                b, n = a, 0
-                while 0 <= b < len(u) and u[a][2]:
-                    n += u[b][2]
-                    if n >= least:
-                        lo, hi = min(a, b), max(a, b)
-                        runs[tuple(x[1] for x in u[lo : hi + 1])].append((k, lo, hi))
-                        break
-                    b += step
-    gone = collections.defaultdict(set)
-    for many in runs.values():
-        many = sorted(set(many))
-        k0, _, end = many[0]
-        for k, lo, hi in many[1:]:
-            gone[k].update(range(max(lo, end + 1) if k == k0 else lo, hi + 1))
-    return {k: None if t is None else b"".join(x[0] for i, x in enumerate(units[k]) if i not in gone[k]).decode() for k, t in texts.items()}
+def words_deduped(texts, least=51):
+    """The words of each text without the runs of `least` that occur at a smaller (id, place), by trying all runs."""
+    words, seen, out = {k: re.findall("[^\x20\x09-\x0d]+", t or "") for k, t in texts.items()}, {}, {}
+    for k, w in sorted(words.items()):
+        gone = set()
+        for i in range(len(w) - least + 1):
+            run = tuple(w[i : i + least])
+            k0, i0 = seen.setdefault(run, (k, i))
+            if (k0, i0) != (k, i):
+                gone |= set(range(i if k0 != k else max(i, i0 + least), i + least))
+        out[k] = [x for i, x in enumerate(w) if i not in gone]
+    return out
 
 
 def dedup_cases():
+    """Texts with repeats of all kinds, and one of their passages."""
     r = random.Random(3)
+    plain = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
     passage, other = prose(r, 70), prose(r, 55)
     texts = [prose(r, r.randint(0, 200)) for _ in range(25)]
     texts += [prose(r, 60) + "\n" + passage + "\n" + prose(r, 30) for _ in range(8)]
-    texts += [prose(r, 20) + " " + passage + other, other, passage + "\n" + passage, "", None, "  \n\n", "word " * 300, ("same line here. " * 40), texts[3], texts[3]]
+    texts += [prose(r, 20) + " " + passage + other, other, passage + "\n" + passage, "", None, "  \n\n", "word " * 300, "same line here. " * 40, texts[3], texts[3]]
     texts += ["All rights reserved.\n" + prose(r, 80) for _ in range(10)]
+    for n in (50, 51, 52, 53, 60, 75, 97):  # between foreign words on both sides, with and without sentences
+        for make in (plain, prose):
+            held = make(n) if make is plain else make(r, n).strip()
+            texts += [f"{plain(r.randint(0, 28))} x{n} {held} y{n} {plain(r.randint(0, 28))}" for _ in range(3)]
+    # A line of 40 words in many surroundings, inside a longer passage of two of them.
+    line = plain(40)
+    wide = f"{plain(30)} {line} {plain(30)}"
+    texts += [f"{plain(60)} {line} {plain(60)}" for _ in range(12)] + [f"{plain(9)} {wide} {plain(9)}" for _ in range(2)]
     return dict(enumerate(texts)), passage
 
 
+def check_dedup(rows, given, least=51):
+    want = words_deduped(given, least)
+    assert len(rows) == len(given)
+    for x in rows:
+        text, before = x["text"], given[x["doc_id"]]
+        assert (text is None) == (before is None)
+        assert (text or "").split() == want[x["doc_id"]], x["doc_id"]
+        assert x["n_removed_words"] == len((before or "").split()) - len(want[x["doc_id"]]) and (x["n_removed"] > 0) == (x["n_removed_words"] > 0)
+        if not x["n_removed"]:
+            assert text == before
+
+
 @pytest.mark.parametrize("block", [8 << 20, 1500])
 def test_line_dedup_equals_brute_force(docs_of, block):
     given, passage = dedup_cases()
-    out = line_dedup.line_dedup(docs_of(list(given.items())), block_bytes=block, with_counts=True)
-    got = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert got == deduped(given, 40)
+    out = line_dedup.line_dedup(docs_of(list(given.items())), block_bytes=block, with_counts=True).collect()
+    check_dedup(out, given)
+    got = {r["doc_id"]: r["text"] for r in out}
     # The passage stays where it is first, and nowhere else; short common lines stay everywhere.
     line = re.split(r"(?<=[.?]) |\n", passage)[2]
     assert sum(line in (t or "") for t in got.values()) == 1
     assert sum("All rights reserved." in (t or "") for t in got.values()) == 10
 
 
-def test_a_passage_glued_to_foreign_text_is_caught(docs_of):
-    r = random.Random(9)
-    passage = prose(r, 60).strip()
-    given = {k: prose(r, 40) + "foreign words " + passage + " and more foreign words" for k in range(6)}
-    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs_of(list(given.items()))).collect()}
-    inner = re.split(r"(?<=[.?]) |\n", passage)[2]
-    assert [inner in got[k] for k in range(6)] == [True] + [False] * 5
-
-
-def test_a_passage_in_text_without_sentences_is_caught(docs_of):
-    r = random.Random(10)
-    word = lambda n: " ".join(r.choice(VOCABULARY) + r.choice(["n", "d", "t", "r", "e"]) for _ in range(n))
-    passage = word(80)
-    given = {k: f"{word(60)} {passage} {word(60)}" for k in range(5)}
-    got = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(docs_of(list(given.items()))).collect()}
-    inner = " ".join(passage.split()[30:45])
-    assert [inner in got[k] for k in range(5)] == [True] + [False] * 4
-    assert all(got[k].split()[:50] == given[k].split()[:50] for k in range(5))
-
-
-def words_deduped(texts, least=51):
-    """The words of each text without the runs of `least` that occur at a smaller (id, place), by trying all runs."""
-    words, seen, out = {k: (t or "").split() for k, t in texts.items()}, {}, {}
-    for k, w in sorted(words.items()):
-        gone = set()
-        for i in range(len(w) - least + 1):
-            run = tuple(w[i : i + least])
-            k0, i0 = seen.setdefault(run, (k, i))
-            if (k0, i0) != (k, i):
-                gone |= set(range(i if k0 != k else max(i, i0 + least), i + least))
-        out[k] = [x for i, x in enumerate(w) if i not in gone]
-    return out
-
-
-@pytest.mark.parametrize("block", [8 << 20, 3000])
-def test_passages_are_found_wherever_units_end(docs_of, block):
-    """Runs of 51 to 97 words between foreign text on both sides, with and without sentences, against all runs of words."""
-    r = random.Random(21)
-    plain = lambda n: " ".join(r.choice(VOCABULARY) for _ in range(n))
-    given, k = {}, 0
-    for n in (50, 51, 52, 60, 75, 97):
-        for make in (plain, prose):
-            passage = make(r, n).strip() if make is prose else make(n)
-            for _ in range(3):
-                given[k] = f"{plain(r.randint(3, 28))} x{k} {passage} y{k} {plain(r.randint(3, 28))}"
-                k += 1
-    out = line_dedup.line_dedup(docs_of(list(given.items())), block_bytes=block, with_counts=True, passages=True).collect()
-    got = {x["doc_id"]: x["text"].split() for x in out}
-    runs = words_deduped(given)
-    units = {i: t.split() for i, t in deduped(given, 40).items()}
-    for i in given:
-        if len(runs[i]) < len(given[i].split()):
-            assert got[i] == runs[i], i  # what units delete lies within these runs
-        else:
-            assert got[i] == units[i], i
-    assert sum(len(runs[i]) < len(given[i].split()) for i in given) == 20
-    assert all(x["n_removed_words"] == len(given[x["doc_id"]].split()) - len(got[x["doc_id"]]) for x in out)
-
-
-def test_units_make_up_the_text():
-    r = random.Random(12)
-    for _ in range(200):
-        raw = "".join(r.choice(["a", "n ", ". ", "\n", "! ", "é", "word ", "  ", '." ', "\t"]) for _ in range(r.randint(0, 200))).encode()
-        assert b"".join(line_dedup.units(raw)) == raw
+@pytest.mark.parametrize("least, line, letters", [(6, 3, 2), (5, 2, 3), (9, 4, 2), (4, 4, 3), (7, 1, 2)])
+def test_line_dedup_of_few_words_equals_brute_force(docs_of, least, line, letters):
+    """Texts of two or three words, so that runs overlap themselves and each other in all ways."""
+    r = random.Random(least)
+    given = {k: " ".join(r.choice("abc"[:letters]) * 3 for _ in range(r.randint(0, 60))) for k in range(40)}
+    given |= {40: "aaa " * 50, 41: "aaa bbb " * 30, 42: "aaa " * 50, 43: given[7], 44: None}
+    check_dedup(line_dedup.line_dedup(docs_of(list(given.items())), least, line=line, with_counts=True, block_bytes=700).collect(), given, least)
+
+
+def test_line_dedup_of_rows_that_share_an_id(docs_of):
+    r = random.Random(4)
+    one, two = prose(r, 80), prose(r, 90)
+    given = [(1, one), (1, one), (1, two), (None, two), (None, None), (2, one + two)]
+    got = collections.Counter((x["doc_id"], (x["text"] or "").strip()) for x in line_dedup.line_dedup(docs_of(given)).collect())
+    # A null id is the least; identical rows are one text, and both stay.
+    assert got == {(1, one.strip()): 2, (1, ""): 1, (None, two.strip()): 1, (None, ""): 1, (2, ""): 1}
+
+
+def test_planted_passages_are_caught_in_whole_documents(docs_of, texts):
+    """Passages of 51 words and more put into documents of the table with foreign text before and behind: all of them go but the first."""
+    r = random.Random(51)
+    hosts = sorted(k for k, t in texts.items() if len(t.split()) > 120)[:60]
+    given, planted = {k: texts[k] for k in hosts}, []
+    r.shuffle(hosts)
+    for n, some in enumerate(zip(hosts[::3], hosts[1::3], hosts[2::3])):
+        passage = " ".join(f"p{n}{r.choice(VOCABULARY)}" for _ in range(51 + n))
+        planted.append(passage)
+        for k in some:
+            w = given[k].split(" ")
+            at = r.randrange(1, len(w))
+            given[k] = " ".join([*w[:at], f"u{k}", passage, f"v{k}", *w[at:]])
+    out = line_dedup.line_dedup(docs_of(list(given.items())), with_counts=True).collect()
+    check_dedup(out, given)
+    assert all(sum(p.split()[25] in (x["text"] or "").split() for x in out) == 1 for p in planted)
 
 
 def test_clean_documents_are_left_alone(docs_of):
@@ -183,15 +161,30 @@ def test_clean_documents_are_left_alone(docs_of):
 
 
 def test_winnowing_guarantee():
-    """A window's anchor depends on its units only."""
-    r = np.random.default_rng(2)
-    words = r.integers(1, 12, 300)
-    hashes = r.integers(0, 50, 300).astype(np.uint64)
-    first, last = line_dedup.windows(words, np.array([300]), 40)
-    at = line_dedup.anchors(hashes, first, last)
-    for a, b, x in zip(first, last, at):
-        w = hashes[a : b + 1]
-        assert x - a == len(w) - 1 - int(np.argmin(w[::-1])) and words[a : b + 1].sum() >= 40
+    """Every window holds a fingerprint, and each fingerprint is the least line of a window around it."""
+    r = random.Random(2)
+    raws = [" ".join(r.choice("abcdef") for _ in range(n)).encode() for n in (0, 3, 9, 10, 200, 77)]
+    block = line_dedup.Block(raws, 10, 4)
+    at = set(block.fingerprints().tolist())
+    ends = np.cumsum([len(x.split()) for x in raws])
+    seen = set()
+    for s, e in zip(ends - [len(x.split()) for x in raws], ends):
+        for w in range(s, e - 9):
+            lines = {i: block.lines[i] for i in range(w, w + 7)}
+            best = {i for i, h in lines.items() if h == min(lines.values())}
+            assert best <= at
+            seen |= best
+    assert seen == at
+
+
+def test_word_hashes_in_pieces(monkeypatch):
+    raw = b"ab cd  ef " + b"z" * 70_000 + b" ab\tcd " + b"q" * 40_000 + b" ef"
+    edges = _hashes.word_edges(raw)
+    whole = _hashes.word_hashes(raw, *edges)
+    monkeypatch.setattr(_hashes, "PIECE", 64)
+    assert (whole == _hashes.word_hashes(raw, *edges)).all()
+    words = raw.split()
+    assert len(set(whole.tolist())) == len(set(words)) and all((words[i] == words[j]) == (whole[i] == whole[j]) for i in range(len(words)) for j in range(len(words)))
 
 
 # ---- 7 ----------------------------------------------------------------------------------------------------------------

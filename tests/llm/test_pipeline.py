@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
 from tessella.llm import queries
-from test_corpus_operators import brute_fingerprint, brute_groups, deduped, prose
+from test_corpus_operators import brute_fingerprint, brute_groups, prose, words_deduped
 from test_text_operators import check_sequences, crc, library_ids, measures
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -52,8 +52,8 @@ def test_stages_one_by_one(spark, documents, tmp_path):
     given, out = seen[0]
     assert {x["doc_id"] for x in out} == {x["doc_id"] for x in given if not measures(x["text"])[5]}
     given, out = seen[1]
-    want = deduped({x["doc_id"]: x["text"] for x in given}, 40)
-    assert {x["doc_id"]: x["text"] for x in out} == want and all(x["n_chars"] == len(x["text"]) for x in out)
+    want = words_deduped({x["doc_id"]: x["text"] for x in given})
+    assert {x["doc_id"]: x["text"].split() for x in out} == want and all(x["n_chars"] == len(x["text"]) for x in out)
     given, out = seen[2]
     groups = brute_groups({x["doc_id"]: brute_fingerprint(x["text"]) for x in given})
     assert sorted(x["doc_id"] for x in out) == sorted(k for k, g in groups.items() if k == g)
