@@ -146,7 +146,8 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, id_
     small_batches(spark)
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     path = fresh_path(spark, "fingerprints")
-    fingerprints(text, passage, line, block_bytes).write.parquet(path)
+    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("h", "a", "b")}  # hashes: no two alike
+    fingerprints(text, passage, line, block_bytes).write.options(**plain).parquet(path)
     found = spark.read.parquet(path)
     often = durable(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
     met = durable(found.join(often, "h"))
@@ -166,7 +167,9 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, id_
     is_later, words = _later("at", "hi", passage)
     grown = windows.join(firsts, ["k1", "k2"]).where(is_later).select("id", "th", words.alias("r"))
 
-    each = copied.unionByName(grown).select("id", "th", "r.lo", "r.hi").distinct()  # a text's own ranges, however often its row is repeated
+    # A text's own ranges, however often its row is repeated; those that end near each other are one, as each is longer than that.
+    near = F.when(F.col("r.hi") - F.col("r.lo") >= passage - 1, F.floor(F.col("r.hi") / passage)).otherwise(-1 - F.col("r.lo"))
+    each = copied.unionByName(grown).select("id", "th", "r.lo", "r.hi", near.alias("near")).groupBy("id", "th", "near").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     order = Window.partitionBy("id", "th").orderBy("lo", "hi")
     reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     each = each.withColumn("new", F.when(F.col("lo") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
