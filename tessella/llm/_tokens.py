@@ -15,11 +15,15 @@ import public_tokenizers
 SETTLED = re.compile("[^\x00-\x1b\x20-\x84\x86-ȳ‐-‧‰-⁞]")
 
 
+#: White space of so many characters: the pattern tries each of them again there, and several hundred thousand are beyond tiktoken.
+LONG_SPACE = re.compile("\\s{4096}")
+
+
 class Ids:
     """ids(text) as the tokenizers library gives them without added special tokens, special strings in a text handled as is its default.
 
-    The same ranks under tiktoken are several times faster. A text with a special string, or with characters outside the settled
-    ranges, goes to the tokenizers library itself."""
+    The same ranks under tiktoken are several times faster. A text with a special string, with characters outside the settled
+    ranges, or with very long white space goes to the tokenizers library itself."""
 
     def __init__(self, json_path: str, ranks_path: str):
         import tiktoken
@@ -44,7 +48,7 @@ class Ids:
         return found
 
     def ids(self, text: str) -> np.ndarray:
-        if SETTLED.search(text) or any(s in text for s in self.special):
+        if SETTLED.search(text) or LONG_SPACE.search(text) or any(s in text for s in self.special):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.frombuffer(array("I", self.fast.encode_ordinary(text)), "<u4")
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import binary_ids, media_columns, packing, quality_rules, secret_scan, token_counts
-from tessella.llm._tokens import ids_of
+from tessella.llm._tokens import SETTLED, ids_of
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = ["", " \n\t", "a", "é" * 50, "x " * 3000, "y" * 200_000, "one two three four five one two three four five six", None, "a\x1cb c", "tab\tnl\nvt\x0bff\x0ccr\r"]
@@ -153,6 +153,32 @@ def test_masking(docs_of):
 # ---- 6 and 8 ------------------------------------------------------------------------------------------------------------
 
 
+def test_ids_equal_the_library_at_every_settled_character():
+    """Each character that goes to the faster library, and its neighbours outside, alone and among letters, digits, signs and spaces."""
+    ids = ids_of()
+    settled = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and not SETTLED.search(chr(c))]
+    assert 500 < len(settled) < 1000
+    around = {chr(ord(c) + d) for c in settled for d in (-1, 1) if 0 <= ord(c) + d}
+    for c in [*settled, *sorted(around)]:
+        for text in (c, f"a{c}b", f"1{c}2", f" {c} {c}", f"!{c}?", f"{c}{c}\n{c}", f"it{c}s'{c}ll  {c}\t", f"é{c}ß"):
+            assert ids.ids(text).tolist() == ids.slow.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+LONG_TEXTS = [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, " \n\t" * 400_000 + "end", "ten bytes\n" * 1_000_000]
+
+
+def test_long_runs_and_texts_give_the_library_ids(docs_of):
+    """In packing and in the binary ids: neither white space nor letters without end, nor a text of 10 MB, stop them."""
+    docs = docs_of(LONG_TEXTS, parts=2)
+    want = {k: library_ids(t) for k, t in enumerate(LONG_TEXTS)}
+    for r in binary_ids.binary_ids(docs).collect():
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(want[r["doc_id"]]), crc(want[r["doc_id"]]))
+    out = packing.packed(docs).collect()
+    assert sum(r["length"] for r in out) == sum(map(len, want.values()))
+    assert all(r["ids_crc32"] == crc(want[r["doc_id"]][r["start"] : r["start"] + r["length"]]) for r in out)
+    check_sequences(out)
+
+
 def library_ids(text):
     return [*ids_of().slow.encode(text or "", add_special_tokens=False).ids, 2]
 
