@@ -26,8 +26,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id: SimHash links, and five-word shingles at a similarity of 0.8."""
-    return one_of_each(docs, similar=True).select(*docs.columns)
+    """One document of each group of near copies, that with the smallest doc_id: SimHash links over five-word shingles, and all pairs whose five-word shingles have a similarity of 0.8."""
+    return one_of_each(docs, shingle=5, similar=True).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
