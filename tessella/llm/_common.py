@@ -23,20 +23,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset one of our own (single machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset and all is on one machine, one of our own."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tessella-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tessella-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(found)
     return found
 
 
 def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: lineage ends there, so a lost executor costs no recomputation.
 
-    The files go when the cluster's cleaner finds that nothing refers to them any more."""
-    shared_dir(df.sparkSession)
+    The files go when the cluster's cleaner finds that nothing refers to them any more, unless the cluster says that they stay."""
+    spark, key = df.sparkSession, "spark.cleaner.referenceTracking.cleanCheckpoints"
+    shared_dir(spark)
+    spark.sparkContext._jsc.sc().conf().setIfMissing(key, "true")  # read at each checkpoint
     return df.checkpoint(eager=True)
 
 

@@ -93,9 +93,9 @@ def mixed(
     tokens_col, or the words of its text).
 
     A source is dealt by hash to blocks of bounded size. A pass takes the blocks in an order drawn for it, until its tokens are
-    used up; of the block where that happens it takes rows in drawn order. So only sums by block are ever ordered within a source,
-    and rows only within one block of a pass. A null source is a source of its own; rows without tokens go where their
-    block goes; identical rows are dealt alike; an empty table gives no rows."""
+    used up; of the block where that happens it takes ids in drawn order, all rows of an id or none. So only sums by block are ever
+    ordered within a source, and ids, without their rows, only within one block of a pass. A null source is a source of its own;
+    rows without tokens go where their block goes; an empty table gives no rows."""
     src, n = F.col(source_col).cast("string"), F.coalesce(F.col(tokens_col).cast("long"), F.lit(0)) if tokens_col else n_words_of(whole_text(text_col))
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), src.alias("src"), n.alias("n"), F.col(id_col).alias("id"))
     narrow = durable(named.select("src", "n", "id"))
@@ -124,11 +124,15 @@ def mixed(
     rows = deal(named).join(sized(turns, 2 * MOST_BLOCKS), F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2")))
     info = F.struct("weight", "epochs", F.col("turn.pass").alias("pass"), "block", F.col("turn.place").alias("place"), F.col("n").alias("tokens")).alias("mix")
     full = rows.select("row", "weight", "epochs", "block", "n", F.explode(F.filter("turns", lambda t: t["whole"])).alias("turn")).select("row", info)
-    # The one block of a pass that is cut: its rows in drawn order, as long as there is room.
-    part = rows.select("row", "s", "weight", "epochs", "block", "n", "id", F.explode(F.filter("turns", lambda t: ~t["whole"])).alias("turn"))
-    inside = Window.partitionBy("s", "turn.pass", "block").orderBy(_draw(F.col("turn.pass"), F.col("id")), "id", "n")
-    part = part.withColumn("used", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    part = part.where(F.col("used") + F.col("n") <= F.col("turn.room")).select("row", info)
+    # The one block of a pass that is cut: of its ids in drawn order those that there is room for; the rows come to these after that.
+    cut = durable(turns.select("s2", "b2", F.explode(F.filter("turns", lambda t: ~t["whole"])).alias("turn")))
+    mine = F.col("s").eqNullSafe(F.col("s2")) & (F.col("block") == F.col("b2"))
+    inside = deal(narrow).join(sized(cut, 50_000), mine).groupBy("s", "block", "id", "turn").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("s", "turn.pass", "block").orderBy(_draw(F.col("turn.pass"), F.col("id")), "id")
+    inside = inside.withColumn("used", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    taken = durable(inside.where(F.col("used") + F.col("n") <= F.col("turn.room")).select(F.col("s").alias("s3"), F.col("block").alias("b3"), F.col("id").alias("id3"), "turn"))
+    own = deal(named).join(sized(cut.select("s2", "b2").distinct(), 50_000), mine, "left_semi")
+    part = own.join(sized(taken), F.col("s").eqNullSafe(F.col("s3")) & (F.col("block") == F.col("b3")) & F.col("id").eqNullSafe(F.col("id3"))).select("row", info)
     out = full.unionByName(part)
     return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("mix").alias(free_name("mix", docs.columns)))
 

@@ -85,6 +85,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = 0.75) -> DataFrame:
-    """The input rows that quality_rules keeps, with their own columns. Rows that share an id are kept or rejected together."""
-    rejected = durable(quality_rules(docs, id_col, text_col, host_col, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__rejected")).distinct())
-    return docs.join(sized(rejected), docs[id_col].eqNullSafe(F.col("__rejected")), "left_anti")
+    """The input rows that quality_rules keeps, with their own columns. A row is known by its id, host and text: others of its id stay or go by themselves."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.col(id_col), F.lit(0), F.col(host_col).cast("string"), F.lit(1), F.col(text_col).cast("string"))
+    keyed = docs.select(F.struct(*own).alias("row"), key.alias("k"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
+    rejected = durable(quality_rules(keyed, "k", "text", "host", threshold).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    return keyed.join(sized(rejected), F.col("k") == F.col("gone"), "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -168,23 +168,33 @@ def simhash_groups(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col:
     rows = durable(fingerprints(docs, shingle, id_col, text_col))
     distinct = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = durable(components(links(distinct, distance)))
-    named = distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.select("fp", "root").join(least, "root").select("fp", "component_id")
+    # Durable, so that both joins are plain exchanges whose hot parts, a large component or a frequent fingerprint, the runtime plan splits.
+    named = durable(distinct.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    least = durable(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    classes = durable(named.select("fp", "root").join(least, "root").select("fp", "component_id"))
     return rows.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4, id_col: str = "doc_id", text_col: str = "text", similar: bool = False) -> DataFrame:
-    """The input rows whose document is the smallest of its group; of rows that share an id, one.
+    """Of each group of linked rows one, with its columns: the least doc_id's; of several texts under it, one told by a hash.
 
+    A row is known by its id and text together, so texts that share an id or have none are judged each by itself; null ids come
+    last. Of rows with the same id and text, that whose columns come first as JSON stays.
     similar: groups are also linked by all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    groups = durable(simhash_groups(docs, shingle, distance, id_col, text_col))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.xxhash64(F.col(id_col), F.col(text_col).cast("string"))
+    keyed = docs.select(F.struct(*own).alias("row"), key.alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    groups = durable(simhash_groups(keyed, shingle, distance, "k", "text"))
     if similar:
-        groups = durable(linked_groups(groups, durable(similar_pairs(docs, id_col=id_col, text_col=text_col))))
-    gone = durable(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(sized(gone), docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = durable(groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__twice")))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(sized(twice), kept[id_col].eqNullSafe(F.col("__twice")), "left_semi")
-    return kept.join(sized(twice), kept[id_col].eqNullSafe(F.col("__twice")), "left_anti").unionByName(again.dropDuplicates([id_col]))
+        groups = durable(linked_groups(groups, durable(similar_pairs(keyed, id_col="k", text_col="text"))))
+    rows = durable(keyed.groupBy("k", "id").agg(F.count(F.lit(1)).alias("n")))
+    several = durable(groups.select(F.col("doc_id").alias("k"), "component_id").distinct().groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    members = durable(groups.select(F.col("doc_id").alias("k"), "component_id").distinct().join(several, "component_id").join(rows, "k").select("k", "id", "component_id"))
+    first = durable(members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "k")).alias("first")))
+    gone = durable(members.join(first, "component_id").where(F.col("k") != F.col("first.k")).select(F.col("k").alias("gone")).distinct())
+    kept = keyed.join(sized(gone), F.col("k") == F.col("gone"), "left_anti")
+    twice = durable(rows.where("n > 1").select(F.col("k").alias("twice")).distinct())
+    if not twice.isEmpty():
+        again = kept.join(sized(twice), F.col("k") == F.col("twice"), "left_semi").groupBy("k").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(sized(twice), F.col("k") == F.col("twice"), "left_anti").select("row").unionByName(again.select("row"))
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
