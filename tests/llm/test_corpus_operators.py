@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tessella.llm import _hashes, components, line_dedup, lm_scores, mixing, simhash
+from tessella.llm import near_copies as near_copies_module
 
 rnd = random.Random(11)
 VOCABULARY = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 7))) for _ in range(400)]
@@ -230,6 +231,17 @@ def test_near_copies_at_a_similarity_of_0_8_go(docs_of):
     assert len(got) < len([x for x in simhash.one_of_each(docs_of(list(given.items()))).collect()])
 
 
+def test_bits_never_rule_out_what_is_shared():
+    r = np.random.default_rng(6)
+    for _ in range(300):
+        shared, a, b = (r.integers(0, 1 << 63, r.integers(0, k), np.uint64) for k in (400, 90, 90))
+        x, y = np.unique(np.append(shared, a)), np.unique(np.append(shared, b))
+        if len(x) and len(y):
+            most = near_copies_module.most_shared(len(x), near_copies_module.bits_of(x), len(y), near_copies_module.bits_of(y))
+            assert len(np.intersect1d(x, y)) <= most <= min(len(x), len(y))
+    assert near_copies_module.most_shared(300, near_copies_module.bits_of(r.integers(0, 1 << 63, 300, np.uint64)), 300, near_copies_module.bits_of(r.integers(0, 1 << 63, 300, np.uint64))) < 150
+
+
 def brute_fingerprint(text, k=4):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall("[^\x20\x09-\x0d]+", low)
