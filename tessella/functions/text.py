@@ -35,8 +35,11 @@ def _text(x: Column | str) -> Column:
 
 
 def fold(text: Column | str) -> Column:
-    """The text without accents; characters that aren't ASCII underneath stay."""
-    return F.regexp_replace(F.translate(_text(text), *folding()), "[\\u0300-\\u036f]", "")
+    """The text without accents; characters that aren't ASCII underneath stay. A text that is all ASCII is left as it is, which is
+    told by its bytes being as many as its characters."""
+    text = _text(text)
+    folded = F.regexp_replace(F.translate(text, *folding()), "[\\u0300-\\u036f]", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)
 
 
 def normalize(text: Column | str) -> Column:

@@ -12,8 +12,8 @@ from tessella.operators import lexicon as lex
 
 def any_pattern(text: Column, patterns: list[str]) -> Column:
     """Whether one of the patterns matches. Those that begin at a word's edge begin with a word's character, so one look back serves them all."""
-    heads = [p[2:] for p in patterns if p.startswith("~b")]
-    rest = [p for p in patterns if not p.startswith("~b")]
+    heads = [p[2:] for p in patterns if p.startswith(r"\b")]
+    rest = [p for p in patterns if not p.startswith(r"\b")]
     parts = [f"(?<![A-Za-z0-9_])(?:{'|'.join(heads)})"] if heads else []
     return text.rlike(lex.pattern("|".join([*parts, *(f"(?:{p})" for p in rest)])))
 
@@ -46,8 +46,8 @@ def is_marketing(text: Column) -> Column:
 def is_prose(normal: Column) -> Column:
     """A function word anywhere, "the" except in front, or eight words and more with two stop words."""
     w = words(normal)
-    telling = F.exists(F.transform(w, lambda x, i: F.array_contains(constants(lex.PROSE_WORDS), x) | ((x == "the") & (i > 0))), lambda x: x)
-    return telling | ((F.size(w) >= 8) & (F.size(F.filter(w, lambda x: F.array_contains(constants(lex.STOPWORDS), x))) >= 2))
+    telling = F.exists(F.transform(w, lambda x, i: x.isin(lex.PROSE_WORDS) | ((x == "the") & (i > 0))), lambda x: x)
+    return telling | ((F.size(w) >= 8) & (F.size(F.filter(w, lambda x: x.isin(lex.STOPWORDS))) >= 2))
 
 
 def is_junk(text: Column, confidence: Column) -> Column:

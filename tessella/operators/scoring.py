@@ -17,11 +17,15 @@ FIELDS = {
 def cells(rows: DataFrame, fields: dict[str, tuple[str, str]] = FIELDS, threshold: float = THRESHOLD, truth: str = "truth", pred: str = "pred", keep: tuple[str, ...] = ("file",)) -> DataFrame:
     """A row for each scored cell: the kept columns, pos, field, truth, found, sim, hit. One projection, no shuffle; unscored cells are left out."""
     of = lambda name, key: F.col(f"`{name}`.`{key}`").cast("string")
-    each = [
-        F.struct(F.lit(i).alias("pos"), F.lit(key).alias("field"), of(truth, key).alias("truth"), of(pred, app).alias("found"), field_similarity(kind, of(truth, key), of(pred, app)).alias("sim"))
-        for i, (key, (app, kind)) in enumerate(fields.items())
-    ]
-    out = rows.select(*keep, F.explode(F.array(*each)).alias("c")).select(*[k.split(".")[-1] for k in keep], "c.*").where("sim is not null")
+    each = [F.struct(F.lit(i).alias("pos"), F.lit(key).alias("field"), F.lit(kind).alias("kind"), of(truth, key).alias("truth"), of(pred, app).alias("found")) for i, (key, (app, kind)) in enumerate(fields.items())]
+    kept = [k.split(".")[-1] for k in keep]
+    filled = F.filter(F.array(*each), lambda c: F.coalesce(c["truth"], F.lit("")) != "")  # before anything is compared
+    out = rows.select(*keep, F.explode(filled).alias("c")).select(*kept, "c.*")
+    sim = None
+    for kind in dict.fromkeys(k for _, k in fields.values()):
+        mine = field_similarity(kind, F.col("truth"), F.col("found"))
+        sim = F.when(F.col("kind") == kind, mine) if sim is None else sim.when(F.col("kind") == kind, mine)
+    out = out.select(*kept, "pos", "field", "truth", "found", sim.alias("sim")).where("sim is not null")
     return out.withColumn("hit", F.col("sim") >= threshold)
 
 
@@ -63,6 +67,15 @@ def percent(x: Column) -> Column:
     return F.when(x.isNull(), F.lit("   —")).otherwise(F.lpad(F.concat(F.floor(x * 100 + 0.5).cast("string"), F.lit("%")), 4, " "))
 
 
+def label_counts(rows: DataFrame, truth: list[str]) -> tuple[int, int]:
+    """(rows, labelled rows): a row is labelled if one of its truth columns holds more than white space."""
+    held = F.lit(False)
+    for c in truth:
+        held = held | (F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(held, 1)).alias("k")).first()
+    return found["n"], found["k"]
+
+
 def table_text(fields: DataFrame, n_rows: int, n_labelled: int, label: str = "") -> DataFrame:
     """The report as one text: a heading, the totals and a line for each field that has truth. fields: by_field's seven rows."""
     line = F.concat(F.rpad("field", 12, " "), F.lit(" "), F.lpad(F.col("n").cast("string"), 3, " "), F.lit("  "), percent(F.col("acc")), F.lit("  "), percent(F.col("mean_sim")))

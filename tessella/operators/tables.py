@@ -21,9 +21,11 @@ def last_by(rows: DataFrame, key: str | list[str], order: str | Column) -> DataF
     return found.select(*keys, *[F.col(f"__row.`{c}`").alias(c) for c in rest])
 
 
-def refreshed(runs: DataFrame, truth: DataFrame, key: str, column: str) -> DataFrame:
-    """runs with the column as truth now has it, else as the run recorded it. truth: one row for each key."""
-    now = truth.select(F.col(key).alias("__k"), F.col(column).alias("__now"), F.lit(True).alias("__there"))
+def refreshed(runs: DataFrame, truth: DataFrame, key: str, column: str, order: str | None = None) -> DataFrame:
+    """runs with the column as truth now has it, else as the run recorded it. Of several truth rows of a key the last in the
+    order of `order` counts; without it, or among equals, the one whose value is greatest."""
+    rank = F.struct(*([F.col(order)] if order else []), F.col(column))
+    now = truth.groupBy(F.col(key).alias("__k")).agg(F.max_by(column, rank).alias("__now")).withColumn("__there", F.lit(True))
     out = runs.join(now, runs[key] == F.col("__k"), "left")
     return out.withColumn(column, F.when(F.col("__there"), F.col("__now")).otherwise(F.col(column))).drop("__k", "__now", "__there")
 
@@ -49,8 +51,11 @@ def replaced(existing: DataFrame, new: DataFrame, column: str, value) -> DataFra
     return existing.where(~F.col(column).eqNullSafe(F.lit(value))).unionByName(new, allowMissingColumns=True)
 
 
-def upserted(existing: DataFrame, new: DataFrame, key: str, now: Column) -> DataFrame:
-    """Records put by key: created is kept from the row that was there, updated is now, the title is composed anew."""
+def upserted(existing: DataFrame, new: DataFrame, key: str, now: Column, order: str | None = None) -> DataFrame:
+    """Records put by key: created is kept from the row that was there, updated is now, the title is composed anew. Of several new
+    rows of a key the last in the order of `order` is put; without it, or among equals, the one that is last as JSON."""
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(*new.columns)))
+    new = new.groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*new.columns), rank).alias("__row")).select(*[F.col(f"__row.`{c}`").alias(c) for c in new.columns])
     old = existing.select(F.col(key).alias("__k"), F.col("created").alias("__c"))
     put = new.join(old, new[key] == F.col("__k"), "left").withColumn("created", F.coalesce("__c", now)).withColumn("updated", now).drop("__k", "__c")
     return existing.join(new.select(key), key, "left_anti").unionByName(put, allowMissingColumns=True)

@@ -95,9 +95,8 @@ def _(t):
 )
 @on
 def _(t):
-    stops = F.array(*map(F.lit, classify.lex.STOPWORDS))
     d = t.documents.select("lang", "source", text.tokens("text").alias("w"))
-    d = d.select("lang", "source", F.size("w").alias("n"), F.size(F.filter("w", lambda x: F.array_contains(stops, x))).alias("s")).where("n > 0")
+    d = d.select("lang", "source", F.size("w").alias("n"), F.size(F.filter("w", lambda x: x.isin(classify.lex.STOPWORDS))).alias("s")).where("n > 0")
     return d.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg(F.col("s") / F.col("n")), 6).alias("density"))
 
 
@@ -306,6 +305,37 @@ def _(t):
     return scoring.upper_median(t.events, "value", "event_type")
 
 
+@query("label_counts", "SELECT count(*) AS n_rows, count(*) FILTER (WHERE trim(coalesce(lang, '')) <> '' OR n_chars > 500) AS n_labelled FROM documents")
+@on
+def _(t):
+    found = scoring.label_counts(t.documents.select("lang", F.when(F.col("n_chars") > 500, "long").alias("long")), ["lang", "long"])
+    return t.documents.sparkSession.createDataFrame([found], "n_rows long, n_labelled long")
+
+
+@query(
+    "put_by_key",
+    """WITH p AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS v FROM orders GROUP BY o_custkey), e AS (SELECT * FROM customer WHERE c_custkey % 2 = 0)
+    SELECT c_custkey AS id, CAST(c_custkey AS BIGINT) AS created, CAST(1 AS BIGINT) AS updated, 'old' AS v FROM e WHERE c_custkey NOT IN (SELECT o_custkey FROM p)
+    UNION ALL SELECT o_custkey, CAST(coalesce(c_custkey, 0) AS BIGINT), CAST(0 AS BIGINT), v FROM p LEFT JOIN e ON o_custkey = c_custkey""",
+)
+@on
+def _(t):
+    old = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("long").alias("created"), F.lit(1).cast("long").alias("updated"), F.lit("old").alias("v"))
+    new = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("v"), "o_orderkey")
+    return tables.upserted(old, new, "id", F.lit(0).cast("long"), "o_orderkey").select("id", "created", "updated", "v")
+
+
+@query(
+    "truth_last_wins",
+    """SELECT c_custkey, coalesce(v, c_mktsegment) AS truth FROM customer LEFT JOIN (SELECT o_custkey, max_by(o_orderpriority, o_orderkey) AS v FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
+)
+@on
+def _(t):
+    runs = t.customer.select("c_custkey", F.col("c_mktsegment").alias("truth"))
+    truth = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").alias("truth"), "o_orderkey")
+    return tables.refreshed(runs, truth, "c_custkey", "truth", "o_orderkey")
+
+
 @query(
     "mad_tolerance",
     """SELECT event_type, round(m, 6) AS paper, round(least(60, greatest(28, 4 * median(abs(value - m)))), 6) AS tolerance FROM (SELECT event_type, value, median(value) OVER (PARTITION BY event_type) AS m FROM events) GROUP BY event_type, m""",
@@ -625,7 +655,7 @@ def _(t):
     return label_fields(labels if labels.rdd.getNumPartitions() >= cores else labels.repartition(cores), 2026)
 
 
-NOISE_SQL = "(?i)" + "|".join(f"(?:{p})" for p in classify.lex.NOISE_PATTERNS).replace("~b", "\\b").replace("'", "''")
+NOISE_SQL = "(?i)" + "|".join(f"(?:{p})" for p in classify.lex.NOISE_PATTERNS).replace("'", "''")
 
 
 @query("line_noise", f"SELECT doc_id, pos, regexp_matches(line, '{NOISE_SQL}') AS noise FROM ({LINES_SQL})")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +70,34 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", False).json(path)
 
 
-def write_notes(notes: DataFrame, folder: str, path: str = "path", content: str = "content") -> None:
-    """Notes as rows of (path, content), a folder of text files for each part of the paths' first segment. Files of one write appear together."""
-    notes.select(F.col(content).alias("value"), F.substring_index(path, "/", 1).alias("folder")).write.partitionBy("folder").text(folder)
+def write_notes(notes: DataFrame, folder: str, path: str = "path", content: str = "content") -> int:
+    """Notes as rows of (path, content), each a text file of its own under `folder` at its path; how many there are.
+
+    The tasks write the files, in whatever store pyarrow reaches by the folder's address. Each is written under another name and then
+    moved, so a task that runs again after a loss leaves the same files and no half of one. Of rows with one path the content that
+    is last as text stays; rows without a path are left out."""
+    rows = notes.where(F.col(path).isNotNull()).groupBy(F.col(path).alias("path")).agg(F.max(content).alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for at, text in zip(*(c.to_pylist() for c in batch.columns)):
+                target = f"{root.rstrip('/')}/{at}"
+                store.create_dir(target.rpartition("/")[0])
+                other = f"{target}.{uuid.uuid4().hex}"
+                with store.open_output_stream(other) as out:
+                    out.write((text or "").encode())
+                store.move(other, target)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def read_places(spark: SparkSession, path: str) -> list[tuple[str, str, str]]:
+    """(name, country, region) from a CSV file with these columns: a dictionary of places for label_fields, in the file's order.
+
+    It goes to every task as one row, so it is meant for thousands of names, not for data; more than 100,000 are refused."""
+    rows = spark.read.csv(path, header=True, schema="name string, country string, region string").limit(100_001).collect()
+    if len(rows) > 100_000:
+        raise ValueError("a dictionary of more than 100,000 places isn't one")
+    return [(r["name"], r["country"] or "", r["region"] or "") for r in rows if r["name"]]

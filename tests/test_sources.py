@@ -104,3 +104,17 @@ def test_exif(spark, order):
     df = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id long, content binary")
     got = [(r["taken"], r["place"] and tuple(r["place"])) for r in vision.with_exif(df).orderBy("id").collect()]
     assert got == [("2024-05-06", (48.5, -2.25)), ("2023-01-02", None), ("2024-05-06", None), (None, None), (None, None), (None, None)]
+
+
+def test_notes_keep_their_names(spark, tmp_path):
+    notes = spark.createDataFrame([("a/one.md", "# one\n"), ("a/two.md", "zwei ü"), ("b/c/three.md", ""), ("a/one.md", "# and"), (None, "x")], "path string, content string")
+    folder = str(tmp_path / "vault")
+    for _ in range(2):  # writing again leaves the same files
+        assert sources.write_notes(notes, folder) == 3
+    found = {str(p.relative_to(folder)): p.read_text() for p in (tmp_path / "vault").rglob("*") if p.is_file()}
+    assert found == {"a/one.md": "# one\n" if "# one\n" > "# and" else "# and", "a/two.md": "zwei ü", "b/c/three.md": ""}
+
+
+def test_places_from_a_file(spark, tmp_path):
+    (tmp_path / "places.csv").write_text("name,country,region\nTokaj,Hungary,Tokaj\nNowhere,,\n", encoding="utf-8")
+    assert sources.read_places(spark, str(tmp_path / "places.csv")) == [("Tokaj", "Hungary", "Tokaj"), ("Nowhere", "", "")]

@@ -52,6 +52,22 @@ def test_upsert_keeps_created(spark):
     assert got == {"a": (1, 9, "z"), "b": (2, 2, "y"), "c": (9, 9, "w")}
 
 
+def test_of_rows_with_one_key_the_last_counts(spark):
+    old = spark.createDataFrame([("a", 1, 1, 0)], "id string, created long, updated long, v int")
+    new = spark.createDataFrame([("a", 5, 1), ("a", 7, 3), ("a", 9, 2), ("b", 1, 1)], "id string, v int, seq int")
+    got = tables.upserted(old, new, "id", F.lit(9).cast("long"), "seq")
+    assert sorted((r["id"], r["created"], r["v"]) for r in got.collect()) == [("a", 1, 7), ("b", 9, 1)]
+    runs = spark.createDataFrame([("x", 0), ("y", 0)], "k string, truth int")
+    truth = spark.createDataFrame([("x", 4, 1), ("x", 2, 2), ("z", 1, 1)], "k string, truth int, line int")
+    assert sorted(map(tuple, tables.refreshed(runs, truth, "k", "truth", "line").select("k", "truth").collect())) == [("x", 2), ("y", 0)]
+
+
+def test_label_counts(spark):
+    rows = spark.createDataFrame([("a", None), (" ", ""), (None, "b"), (None, None)], "winery string, wine string")
+    assert scoring.label_counts(rows, ["winery", "wine"]) == (4, 2)
+    assert scoring.label_counts(rows.where("wine = 'none'"), ["wine"]) == (0, 0)
+
+
 def test_replaced_keeps_null_sources(spark):
     old = spark.createDataFrame([(1, "s"), (2, None), (3, "t")], "id long, source string")
     assert sorted(r["id"] for r in tables.replaced(old, spark.createDataFrame([(4, "s")], old.schema), "source", "s").collect()) == [2, 3, 4]
