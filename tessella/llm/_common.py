@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import tempfile
@@ -69,7 +70,7 @@ def n_words_of(text: Column) -> Column:
 
 
 #: Bytes of an Arrow batch on its way to a task's Python. Spark's own 64 MB, for each task and in several copies, is much for texts.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -85,7 +86,14 @@ def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return df.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
 
 
-def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def trimmed() -> None:
+    """Gives memory that a task's Python has freed back to the machine: workers live on, and wait beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches of at most about so many bytes of text (column 1), so that long texts don't add up in memory."""
     for batch in batches:
         text = batch.column(1)
@@ -103,6 +111,7 @@ def chunks(batches: Iterator[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iter
                 start, size = i, 0
             size += length or 0
         yield batch.slice(start, n - start)
+    trimmed()
 
 
 def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:

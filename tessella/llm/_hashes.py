@@ -11,7 +11,7 @@ IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Odd, so that they have inverses.
 BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9]
 #: Bytes that are hashed at a time, and from how many on a word is hashed by itself.
-PIECE, LONG_WORD = 1 << 20, 1 << 16
+PIECE, LONG_WORD = 1 << 18, 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,7 +25,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     if base not in _POWERS or len(_POWERS[base]) < n:
-        factors = np.full(n + (-n & 0xFFFFF), base, np.uint64)
+        factors = np.full(n + (-n & 0xFFFF), base, np.uint64)
         factors[:1] = 1
         _POWERS[base] = np.cumprod(factors, dtype=np.uint64)
     return _POWERS[base][:n]

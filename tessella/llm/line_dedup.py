@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import chunks, durable, free_name, fresh_path, removed, small_batches
+from tessella.llm._common import chunks, durable, free_name, fresh_path, removed, small_batches, trimmed
 from tessella.llm._hashes import BASES, Runs, gram_hashes, mix, sliding, word_edges, word_hashes
 
 #: A repeated run has at least so many words: over 50.
@@ -221,6 +221,7 @@ def line_dedup(docs: DataFrame, passage: int = PASSAGE, id_col: str = "doc_id",
             if more:
                 columns += [pa.array(runs, pa.int64()), pa.array(lost, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*own, *more])
+        trimmed()
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes) + "".join(f", `{c}` long" for c in more)
     return joined.mapInArrow(cut, kinds)

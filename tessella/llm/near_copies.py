@@ -97,6 +97,7 @@ def similar_pairs(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHIN
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], ["doc_id", "s", "n", "prefix", "bits"])
 
     rows = durable(text.mapInArrow(prefixes, "doc_id long, s long, n long, prefix array<long>, bits binary"))
+    known.destroy()
     nodes = durable(rows.groupBy("s").agg(F.min("doc_id").alias("first"), F.first("n").cast("int").alias("n")))
     each = rows.select("s", F.explode("prefix").alias("h"))
     often = durable(each.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
