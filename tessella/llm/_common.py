@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -36,13 +37,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Durable results after which the cleaner is asked to look.
+RELEASE_EVERY = 6
+_kept = count(1)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: lineage ends there, so a lost executor costs no recomputation.
 
-    The files go when the cluster's cleaner finds that nothing refers to them any more, unless the cluster says that they stay."""
+    The files go when the cluster's cleaner finds that nothing refers to them any more, unless the cluster says that they stay. Now
+    and then it is asked to look: a step of many small results would else keep all its shuffles, of a file or two for each task."""
     spark, key = df.sparkSession, "spark.cleaner.referenceTracking.cleanCheckpoints"
     shared_dir(spark)
     spark.sparkContext._jsc.sc().conf().setIfMissing(key, "true")  # read at each checkpoint
+    if next(_kept) % RELEASE_EVERY == 0:
+        released(spark)
     return df.checkpoint(eager=True)
 
 
