@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._common import durable, id_and_text
@@ -19,8 +19,9 @@ ORDER = 2
 #: An n-gram of two or more words is in the table from so many occurrences.
 MIN_COUNT = 2
 BLOCK_BYTES = 16 << 20
-#: Distinct n-grams of a block times blocks that one part of a count table has about.
-PART_ROWS = 1 << 20
+#: Rows (n-gram, block) that a part of the count tables has about, and the most parts, as a power of two: beyond it parts grow, and spill.
+PART_ROWS = 1 << 18
+MOST_BITS = 16
 MICRO = 1_000_000
 
 
@@ -119,18 +120,17 @@ def _open(row: dict) -> Block:
     return Block(_unpack_sorted(row["vocabulary"]), _from_planes(row["places"], "<u4"), np.frombuffer(row["n_words"], "<u4").astype(np.int64))
 
 
-def _summed(parts: pd.DataFrame, min_count: int) -> pd.DataFrame:
-    """One part of a count table: what each block asked for, answered with the counts over all blocks (0 below min_count)."""
-    hashes = [_unpack_sorted(x) for x in parts["hashes"]]
-    counts = [_from_planes(x, "<u4").astype(np.int64) for x in parts["counts"]]
-    distinct, back = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.zeros(len(distinct), np.int64)
-    np.add.at(total, back, np.concatenate(counts))
-    if parts["n"].iloc[0] > 1:
-        total[total < min_count] = 0
-    cut = np.cumsum([len(h) for h in hashes])[:-1]
-    answers = [_planes(x) for x in np.split(total[back], cut)]
-    return pd.DataFrame({"block": parts["block"], "n": parts["n"], "part": parts["part"], "counts": answers})
+def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
+    """The n-grams of the blocks as rows, each with its count over all blocks (0 below min_count), and back to a list for each block.
+
+    One exchange, by part of the count tables: an n-gram is in one part, so its rows meet there, one for each block that has it, are
+    summed, and the lists go back in the order of the n-grams."""
+    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.arrays_zip("gram", "here")))
+    total = F.sum(F.col("here").cast("long")).over(Window.partitionBy("part", "n", "gram"))
+    each = each.select("block", "n", "part", "gram", total.alias("total"))
+    seen = F.when((F.col("n") > 1) & (F.col("total") < min_count), F.lit(0).cast("long")).otherwise(F.col("total"))
+    lists = each.groupBy("block", "n", "part").agg(F.sort_array(F.collect_list(F.struct("gram", seen.alias("total")))).alias("x"))
+    return lists.select("block", "n", "part", F.col("x.total").alias("counts"))
 
 
 def _scored(block: Block, tables: dict[int, np.ndarray], order: int, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,31 +160,29 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
     that of its context, or alpha times the score of the n-gram without its first word; at the end the word's share of all words.
     A word with fewer words before it than the order asks for starts lower without alpha. The counts are those of all texts given.
 
-    Each task turns its texts into blocks; a block asks each part of the count tables for its distinct n-grams once, however
-    often they occur in it, and gets the counts back. Null and empty texts have no words and score 0, repeated rows count each
+    Each task turns its texts into blocks. A block's distinct n-grams become a row each, however often they occur in it; rows meet
+    those of the other blocks in their part of the count tables, and the sums go back to the block, which adds them up by document. Null and empty texts have no words and score 0, repeated rows count each
     time, an empty table gives no rows, other columns are ignored."""
     kind = "ids array<long>, n_words binary, vocabulary binary, places binary, total long, distinct long"
     blocks = durable(id_and_text(docs, id_col, text_col).mapInArrow(lambda b: _blocks(b, block_bytes), kind).withColumn("block", F.monotonically_increasing_id()))
     size = blocks.agg(F.sum("distinct").alias("v"), F.sum("total").alias("w")).first()
-    bits = max(3, int(4 * (size["v"] or 1) / PART_ROWS).bit_length())  # a block's n-grams are some times its vocabulary
+    bits = min(MOST_BITS, max(3, int(4 * (size["v"] or 1) / PART_ROWS).bit_length()))  # a block's n-grams are some times its vocabulary
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.array(np.arange(1 << bits, dtype=np.int32))
         for batch in batches:
             for row in batch.to_pylist():
                 block = _open(row)
                 for n, _, distinct, back in block.grams(order):
-                    counts = np.bincount(back, minlength=len(distinct)).astype("<u4")
-                    edges = np.searchsorted(distinct >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
-                    parts = [(p, _pack_sorted(distinct[a:b]), _planes(counts[a:b])) for p, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-                    if parts:
-                        part, hashes, counted = zip(*parts)
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([row["block"]] * len(part), pa.int64()), pa.array([n] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(hashes, pa.binary()), pa.array(counted, pa.binary())],
-                            ["block", "n", "part", "hashes", "counts"],
-                        )
-
-    asked = blocks.mapInArrow(ask, "block long, n long, part long, hashes binary, counts binary")
-    answered = asked.groupBy("n", "part").applyInPandas(lambda x: _summed(x, min_count), "block long, n long, part long, counts binary")
+                    edges = pa.array(np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct)).astype(np.int32))
+                    signed = (distinct ^ np.uint64(1 << 63)).view(np.int64)  # in the same order
+                    here = np.bincount(back, minlength=len(distinct)).astype(np.int32)
+                    of_block = [pa.array(np.full(1 << bits, x, kind)) for x, kind in ((row["block"], np.int64), (n, np.int32))]
+                    lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (signed, here)]
+                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", "gram", "here"])
+
+    asked = blocks.mapInArrow(ask, "block long, n int, part int, gram array<long>, here array<int>")
+    answered = _counted(asked, 1 << bits, min_count)
     total = size["w"] or 0
 
     def score(block_rows: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
@@ -192,7 +190,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
         block = _open(row)
         found = {n: np.zeros(0, np.int64) for n in range(1, order + 1)}
         for n, mine in tables.sort_values(["n", "part"]).groupby("n"):
-            found[n] = np.concatenate([_from_planes(x, "<i8") for x in mine["counts"]])
+            found[n] = np.concatenate(list(mine["counts"]))
         micro, backed = _scored(block, found, order, total, alpha)
         ends = np.cumsum(block.n_words)
         starts = ends - block.n_words
