@@ -125,7 +125,8 @@ def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
 
     One exchange, by part of the count tables: an n-gram is in one part, so its rows meet there, one for each block that has it, are
     summed, and the lists go back in the order of the n-grams."""
-    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.arrays_zip("gram", "here")))
+    single = F.transform("once", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("here")))
+    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.concat(single, F.arrays_zip("gram", "here"))))
     total = F.sum(F.col("here").cast("long")).over(Window.partitionBy("part", "n", "gram"))
     each = each.select("block", "n", "part", "gram", total.alias("total"))
     seen = F.when((F.col("n") > 1) & (F.col("total") < min_count), F.lit(0).cast("long")).otherwise(F.col("total"))
@@ -174,14 +175,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
             for row in batch.to_pylist():
                 block = _open(row)
                 for n, _, distinct, back in block.grams(order):
-                    edges = pa.array(np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct)).astype(np.int32))
+                    edges = np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct))
                     signed = (distinct ^ np.uint64(1 << 63)).view(np.int64)  # in the same order
                     here = np.bincount(back, minlength=len(distinct)).astype(np.int32)
+                    often = here > 1  # most aren't, and need no number on their way
+                    before = np.concatenate([[0], np.cumsum(often)])[edges]
                     of_block = [pa.array(np.full(1 << bits, x, kind)) for x, kind in ((row["block"], np.int64), (n, np.int32))]
-                    lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (signed, here)]
-                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", "gram", "here"])
+                    cuts = ((edges - before, signed[~often]), (before, signed[often]), (before, here[often]))
+                    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in cuts]
+                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", "once", "gram", "here"])
 
-    asked = blocks.mapInArrow(ask, "block long, n int, part int, gram array<long>, here array<int>")
+    asked = blocks.mapInArrow(ask, "block long, n int, part int, once array<long>, gram array<long>, here array<int>")
     answered = _counted(asked, 1 << bits, min_count)
     total = size["w"] or 0
 
