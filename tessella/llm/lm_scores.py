@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import durable, id_and_text
+from tessella.llm._common import durable, id_and_text, trimmed
 
 ALPHA = 0.4
 ORDER = 2
@@ -44,14 +44,6 @@ def _from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
 
-def _pack_sorted(x: np.ndarray) -> bytes:
-    return _planes(np.diff(x, prepend=np.uint64(0)))
-
-
-def _unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
-
-
 class Block:
     """The words of some documents as places in the block's vocabulary of word hashes."""
 
@@ -59,7 +51,7 @@ class Block:
         self.words = vocabulary[places]
         self.n_words = n_words
         starts = np.cumsum(n_words) - n_words
-        self.depth = np.arange(len(places)) - np.repeat(starts, n_words)  # of a word in its document
+        self.depth = np.arange(len(places), dtype=np.int32) - np.repeat(starts.astype(np.int32), n_words)  # of a word in its document
 
     def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For n = 1..order: n, where an n-gram ends, the sorted distinct hashes, and each end's place among them."""
@@ -69,7 +61,7 @@ class Block:
                 full = np.concatenate([np.zeros(1, np.uint64), _mix(full[:-1], self.words[1:])]) if len(full) else full
             ends = np.flatnonzero(self.depth >= n - 1)
             distinct, back = np.unique(full[ends], return_inverse=True)
-            yield n, ends, distinct, back
+            yield n, ends, distinct, back.astype(np.int32)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -84,13 +76,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
 
     def out() -> pa.RecordBatch:
         nonlocal held
-        h = np.array(hashes, np.uint64)
-        order = np.argsort(h, kind="stable")
+        h, at = np.array(hashes, np.uint64), np.concatenate(places)
+        order = np.argsort(-np.bincount(at, minlength=len(h)), kind="stable")  # frequent words have low places, whose high bytes are 0
         rank = np.empty(len(h), np.uint32)
         rank[order] = np.arange(len(h), dtype=np.uint32)
-        at = rank[np.concatenate(places)]
+        at = rank[at]
         got = pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), pa.array([_pack_sorted(h[order])], pa.binary()), pa.array([_planes(at.astype("<u4"))], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([len(h)], pa.int64())],
+            [pa.array([ids], pa.list_(pa.int64())), pa.array([np.array(counts, "<u4").tobytes()], pa.binary()), pa.array([_planes(h[order])], pa.binary()), pa.array([_planes(at.astype("<u4"))], pa.binary()), pa.array([len(at)], pa.int64()), pa.array([len(h)], pa.int64())],
             ["ids", "n_words", "vocabulary", "places", "total", "distinct"],
         )
         for x in (known, hashes, ids, counts, places):
@@ -114,10 +106,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.R
                 yield out()
     if ids:
         yield out()
+    trimmed()
 
 
 def _open(row: dict) -> Block:
-    return Block(_unpack_sorted(row["vocabulary"]), _from_planes(row["places"], "<u4"), np.frombuffer(row["n_words"], "<u4").astype(np.int64))
+    return Block(_from_planes(row["vocabulary"], "<u8"), _from_planes(row["places"], "<u4"), np.frombuffer(row["n_words"], "<u4").astype(np.int64))
 
 
 def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
@@ -137,7 +130,7 @@ def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
 def _scored(block: Block, tables: dict[int, np.ndarray], order: int, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(micro-nats, whether the full order was backed off from) at each word."""
     n_words = len(block.words)
-    score, done, backed, misses = np.zeros(n_words), np.zeros(n_words, bool), np.zeros(n_words, bool), np.zeros(n_words, np.int64)
+    score, done, backed, misses = np.zeros(n_words), np.zeros(n_words, bool), np.zeros(n_words, bool), np.zeros(n_words, np.int8)
     counts: dict[int, np.ndarray] = {}
     for n, ends, _, back in block.grams(order):
         counts[n] = np.zeros(n_words, np.int64)
@@ -184,6 +177,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
                     cuts = ((edges - before, signed[~often]), (before, signed[often]), (before, here[often]))
                     lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in cuts]
                     yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", "once", "gram", "here"])
+        trimmed()
 
     asked = blocks.mapInArrow(ask, "block long, n int, part int, once array<long>, gram array<long>, here array<int>")
     answered = _counted(asked, 1 << bits, min_count)
@@ -196,6 +190,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
         for n, mine in tables.sort_values(["n", "part"]).groupby("n"):
             found[n] = np.concatenate(list(mine["counts"]))
         micro, backed = _scored(block, found, order, total, alpha)
+        del tables, found
+        trimmed()
         ends = np.cumsum(block.n_words)
         starts = ends - block.n_words
         of = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[ends] - c[starts]
