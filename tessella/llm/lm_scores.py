@@ -23,6 +23,8 @@ BLOCK_BYTES = 16 << 20
 PART_ROWS = 1 << 18
 MOST_BITS = 16
 MICRO = 1_000_000
+#: How n-grams go to their part: those that the block has once, and those that it has more often with their number.
+PIECES = {"once_high": "short", "once_mid": "short", "once_low": "int", "often_high": "short", "often_mid": "short", "often_low": "int", "here": "int"}
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -113,13 +115,22 @@ def _open(row: dict) -> Block:
     return Block(_from_planes(row["vocabulary"], "<u8"), _from_planes(row["places"], "<u4"), np.frombuffer(row["n_words"], "<u4").astype(np.int64))
 
 
+def _pieces(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted integers as their upper 16, next 16 and lower 32 bits: the upper ones hardly change in a list, and vanish when it is compressed."""
+    words = gram.view("<i2").reshape(-1, 4)
+    return np.ascontiguousarray(words[:, 3]), np.ascontiguousarray(words[:, 2]), np.ascontiguousarray(gram.view("<i4").reshape(-1, 2)[:, 0])
+
+
 def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
     """The n-grams of the blocks as rows, each with its count over all blocks (0 below min_count), and back to a list for each block.
 
     One exchange, by part of the count tables: an n-gram is in one part, so its rows meet there, one for each block that has it, are
     summed, and the lists go back in the order of the n-grams."""
-    single = F.transform("once", lambda x: F.struct(x.alias("gram"), F.lit(1).alias("here")))
-    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.concat(single, F.arrays_zip("gram", "here"))))
+    whole = lambda x: F.shiftleft(x.high.cast("long"), 48).bitwiseOR(F.shiftleft(x.mid.cast("long").bitwiseAND(0xFFFF), 32)).bitwiseOR(x.low.cast("long").bitwiseAND(0xFFFFFFFF))
+    named = lambda kind: [F.col(f"{kind}_{c}").alias(c) for c in ("high", "mid", "low")]
+    once = F.transform(F.arrays_zip(*named("once")), lambda x: F.struct(whole(x).alias("gram"), F.lit(1).alias("here")))
+    often = F.transform(F.arrays_zip(*named("often"), "here"), lambda x: F.struct(whole(x).alias("gram"), x.here.alias("here")))
+    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.concat(once, often)))
     total = F.sum(F.col("here").cast("long")).over(Window.partitionBy("part", "n", "gram"))
     each = each.select("block", "n", "part", "gram", total.alias("total"))
     seen = F.when((F.col("n") > 1) & (F.col("total") < min_count), F.lit(0).cast("long")).otherwise(F.col("total"))
@@ -174,12 +185,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
                     often = here > 1  # most aren't, and need no number on their way
                     before = np.concatenate([[0], np.cumsum(often)])[edges]
                     of_block = [pa.array(np.full(1 << bits, x, kind)) for x, kind in ((row["block"], np.int64), (n, np.int32))]
-                    cuts = ((edges - before, signed[~often]), (before, signed[often]), (before, here[often]))
+                    cuts = [(edges - before, x) for x in _pieces(signed[~often])] + [(before, x) for x in (*_pieces(signed[often]), here[often])]
                     lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in cuts]
-                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", "once", "gram", "here"])
+                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", *PIECES])
         trimmed()
 
-    asked = blocks.mapInArrow(ask, "block long, n int, part int, once array<long>, gram array<long>, here array<int>")
+    asked = blocks.mapInArrow(ask, ", ".join(["block long, n int, part int", *(f"{name} array<{kind}>" for name, kind in PIECES.items())]))
     answered = _counted(asked, 1 << bits, min_count)
     total = size["w"] or 0
 
