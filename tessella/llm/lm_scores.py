@@ -22,9 +22,12 @@ BLOCK_BYTES = 16 << 20
 #: Rows (n-gram, block) that a part of the count tables has about, and the most parts, as a power of two: beyond it parts grow, and spill.
 PART_ROWS = 1 << 18
 MOST_BITS = 16
+#: A block's n-grams are sorted in slices by so many upper bits of their hashes, which are whole parts, and its words are scored in stretches: both bound memory.
+SLICE_BITS = 3
+STRETCH = 1 << 18
 MICRO = 1_000_000
-#: How n-grams go to their part: those that the block has once, and those that it has more often with their number.
-PIECES = {"once_high": "short", "once_mid": "short", "once_low": "int", "often_high": "short", "often_mid": "short", "often_low": "int", "here": "int"}
+#: How n-grams go to their part; `here` has the numbers of the last ones in the list, the others are in the block once.
+PIECES = {"high": "short", "mid": "short", "low": "int", "here": "int"}
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,15 +58,17 @@ class Block:
         starts = np.cumsum(n_words) - n_words
         self.depth = np.arange(len(places), dtype=np.int32) - np.repeat(starts.astype(np.int32), n_words)  # of a word in its document
 
-    def grams(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For n = 1..order: n, where an n-gram ends, the sorted distinct hashes, and each end's place among them."""
+    def grams(self, order: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For n = 1..order and each slice of the hashes by their upper bits: n, the slice, where its n-grams end, their sorted distinct hashes, and each end's place among them."""
         full = self.words
         for n in range(1, order + 1):
             if n > 1:
                 full = np.concatenate([np.zeros(1, np.uint64), _mix(full[:-1], self.words[1:])]) if len(full) else full
-            ends = np.flatnonzero(self.depth >= n - 1)
-            distinct, back = np.unique(full[ends], return_inverse=True)
-            yield n, ends, distinct, back.astype(np.int32)
+            of_slice = (full >> np.uint64(64 - SLICE_BITS)).astype(np.uint8)
+            for k in range(1 << SLICE_BITS):
+                ends = np.flatnonzero((self.depth >= n - 1) & (of_slice == k))
+                distinct, back = np.unique(full[ends], return_inverse=True)
+                yield n, k, ends, distinct, back
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -116,7 +121,7 @@ def _open(row: dict) -> Block:
 
 
 def _pieces(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted integers as their upper 16, next 16 and lower 32 bits: the upper ones hardly change in a list, and vanish when it is compressed."""
+    """Integers as their upper 16, next 16 and lower 32 bits: the upper ones hardly change in a list of a part, and vanish when it is compressed."""
     words = gram.view("<i2").reshape(-1, 4)
     return np.ascontiguousarray(words[:, 3]), np.ascontiguousarray(words[:, 2]), np.ascontiguousarray(gram.view("<i4").reshape(-1, 2)[:, 0])
 
@@ -126,11 +131,11 @@ def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
 
     One exchange, by part of the count tables: an n-gram is in one part, so its rows meet there, one for each block that has it, are
     summed, and the lists go back in the order of the n-grams."""
-    whole = lambda x: F.shiftleft(x.high.cast("long"), 48).bitwiseOR(F.shiftleft(x.mid.cast("long").bitwiseAND(0xFFFF), 32)).bitwiseOR(x.low.cast("long").bitwiseAND(0xFFFFFFFF))
-    named = lambda kind: [F.col(f"{kind}_{c}").alias(c) for c in ("high", "mid", "low")]
-    once = F.transform(F.arrays_zip(*named("once")), lambda x: F.struct(whole(x).alias("gram"), F.lit(1).alias("here")))
-    often = F.transform(F.arrays_zip(*named("often"), "here"), lambda x: F.struct(whole(x).alias("gram"), x.here.alias("here")))
-    each = asked.repartition(parts, "part").select("block", "n", "part", F.inline(F.concat(once, often)))
+    each = asked.repartition(parts, "part").select("block", "n", "part", "high", "mid", "here", F.posexplode("low").alias("i", "low"), (F.size("low") - F.size("here")).alias("single"))
+    upper = F.shiftleft(F.get("high", F.col("i")).cast("long"), 48)
+    middle = F.shiftleft(F.get("mid", F.col("i")).cast("long").bitwiseAND(0xFFFF), 32)
+    gram = upper.bitwiseOR(middle).bitwiseOR(F.col("low").cast("long").bitwiseAND(0xFFFFFFFF))
+    each = each.select("block", "n", "part", gram.alias("gram"), F.coalesce(F.get("here", F.col("i") - F.col("single")), F.lit(1)).alias("here"))
     total = F.sum(F.col("here").cast("long")).over(Window.partitionBy("part", "n", "gram"))
     each = each.select("block", "n", "part", "gram", total.alias("total"))
     seen = F.when((F.col("n") > 1) & (F.col("total") < min_count), F.lit(0).cast("long")).otherwise(F.col("total"))
@@ -138,24 +143,28 @@ def _counted(asked: DataFrame, parts: int, min_count: int) -> DataFrame:
     return lists.select("block", "n", "part", F.col("x.total").alias("counts"))
 
 
-def _scored(block: Block, tables: dict[int, np.ndarray], order: int, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def _scored(block: Block, tables: dict[tuple[int, int], np.ndarray], order: int, total: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """(micro-nats, whether the full order was backed off from) at each word."""
     n_words = len(block.words)
-    score, done, backed, misses = np.zeros(n_words), np.zeros(n_words, bool), np.zeros(n_words, bool), np.zeros(n_words, np.int8)
-    counts: dict[int, np.ndarray] = {}
-    for n, ends, _, back in block.grams(order):
-        counts[n] = np.zeros(n_words, np.int64)
-        counts[n][ends] = tables[n][back]
-    for n in range(order, 0, -1):
-        ends = np.flatnonzero(~done & (block.depth >= n - 1))
-        hit = ends[counts[n][ends] > 0]
-        below = counts[n - 1][hit - 1] if n > 1 else total
-        score[hit] = np.log(counts[n][hit] / below) + misses[hit] * np.log(alpha)
-        done[hit] = True
-        missed = ends[counts[n][ends] == 0]
-        misses[missed] += 1
-        backed[missed] = True
-    return np.rint(score * MICRO).astype(np.int64), backed
+    micro, backed = np.zeros(n_words, np.int64), np.zeros(n_words, bool)
+    counts = {n: np.zeros(n_words, np.int64) for n in range(1, order + 1)}
+    for n, k, ends, _, back in block.grams(order):
+        if len(ends):
+            counts[n][ends] = tables[n, k][back]
+    for at in range(0, n_words, STRETCH):
+        depth = block.depth[at : at + STRETCH]
+        score, done, misses = np.zeros(len(depth)), np.zeros(len(depth), bool), np.zeros(len(depth), np.int8)
+        for n in range(order, 0, -1):
+            ends = np.flatnonzero(~done & (depth >= n - 1))
+            seen = counts[n][at + ends]
+            hit, missed = ends[seen > 0], ends[seen == 0]
+            below = counts[n - 1][at + hit - 1] if n > 1 else total
+            score[hit] = np.log(seen[seen > 0] / below) + misses[hit] * np.log(alpha)
+            done[hit] = True
+            misses[missed] += 1
+            backed[at + missed] = True
+        micro[at : at + STRETCH] = np.rint(score * MICRO).astype(np.int64)
+    return micro, backed
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -174,20 +183,21 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
     bits = min(MOST_BITS, max(3, int(4 * (size["v"] or 1) / PART_ROWS).bit_length()))  # a block's n-grams are some times its vocabulary
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = pa.array(np.arange(1 << bits, dtype=np.int32))
+        width = 1 << (bits - SLICE_BITS)  # parts of a slice
         for batch in batches:
             for row in batch.to_pylist():
                 block = _open(row)
-                for n, _, distinct, back in block.grams(order):
-                    edges = np.append(np.searchsorted(distinct, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(distinct))
-                    signed = (distinct ^ np.uint64(1 << 63)).view(np.int64)  # in the same order
+                for n, k, _, distinct, back in block.grams(order):
+                    part = (distinct >> np.uint64(64 - bits)).astype(np.int32) - k * width
                     here = np.bincount(back, minlength=len(distinct)).astype(np.int32)
                     often = here > 1  # most aren't, and need no number on their way
-                    before = np.concatenate([[0], np.cumsum(often)])[edges]
-                    of_block = [pa.array(np.full(1 << bits, x, kind)) for x, kind in ((row["block"], np.int64), (n, np.int32))]
-                    cuts = [(edges - before, x) for x in _pieces(signed[~often])] + [(before, x) for x in (*_pieces(signed[often]), here[often])]
-                    lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for at, x in cuts]
-                    yield pa.RecordBatch.from_arrays([*of_block, part, *lists], ["block", "n", "part", *PIECES])
+                    turn = np.argsort(2 * part + often, kind="stable")
+                    sent = (distinct ^ np.uint64(1 << 63)).view(np.int64)[turn]  # as signed, in the same order
+                    edges, known = (pa.array(np.concatenate([[0], np.cumsum(np.bincount(x, minlength=width))]).astype(np.int32)) for x in (part, part[often]))
+                    lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in _pieces(sent)] + [pa.ListArray.from_arrays(known, pa.array(here[often]))]
+                    of_block = [pa.array(np.full(width, x, kind)) for x, kind in ((row["block"], np.int64), (n, np.int32))]
+                    parts = pa.array(np.arange(k * width, (k + 1) * width, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([*of_block, parts, *lists], ["block", "n", "part", *PIECES])
         trimmed()
 
     asked = blocks.mapInArrow(ask, ", ".join(["block long, n int, part int", *(f"{name} array<{kind}>" for name, kind in PIECES.items())]))
@@ -197,9 +207,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, min_count: int = MIN_COUNT, a
     def score(block_rows: pd.DataFrame, tables: pd.DataFrame) -> pd.DataFrame:
         row = block_rows.iloc[0].to_dict()
         block = _open(row)
-        found = {n: np.zeros(0, np.int64) for n in range(1, order + 1)}
-        for n, mine in tables.sort_values(["n", "part"]).groupby("n"):
-            found[n] = np.concatenate(list(mine["counts"]))
+        tables = tables.sort_values(["n", "part"])
+        found = {key: np.concatenate(list(mine)) for key, mine in tables["counts"].groupby([tables["n"], tables["part"] // (1 << (bits - SLICE_BITS))])}
         micro, backed = _scored(block, found, order, total, alpha)
         del tables, found
         trimmed()
