@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import chunks, durable, free_name, fresh_path, removed, small_batches, trimmed
+from tessella.llm._common import chunks, durable, free_name, released, small_batches, trimmed
 from tessella.llm._hashes import BASES, Runs, gram_hashes, mix, sliding, word_edges, word_hashes
 
 #: A repeated run has at least so many words: over 50.
@@ -46,13 +46,13 @@ class Block:
         around[self.windows + self.width - 1] = self.least
         return np.flatnonzero(sliding(around, self.width, np.maximum) == self.lines)
 
-    def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, first and last word that a window around the line can reach, keys of the words from the first on and to the last)."""
+    def surroundings(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, words from the line's first to the last that a window around it can reach, key of all words that one can reach and the line's place in them)."""
         text = np.searchsorted(self.base, at, side="right") - 1
         lo = np.maximum(at - (self.width - 1), self.base[text])
         end = np.minimum(at + self.passage, self.base[text] + self.n[text])
         runs = Runs(mix(self.hashes + np.uint64(1)), BASES[1])
-        return text, lo, end - 1, runs.of(lo, at + self.line), runs.of(at, end)
+        return text, end - at, mix(runs.of(lo, end) + (at - lo).astype(np.uint64))
 
     def around(self, at: np.ndarray) -> np.ndarray:
         """The windows of which one of these lines is the least."""
@@ -90,21 +90,32 @@ def _texts(batches: Iterator[pa.RecordBatch], block_bytes: int, passage: int) ->
 PLACE = "id long, th long"
 
 
+def line_hashes(text: DataFrame, passage: int, line: int, block_bytes: int) -> DataFrame:
+    """Of (id, t): (h) for every fingerprint, its hash alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, raws, _ in _texts(batches, block_bytes, passage):
+            block = Block(raws, passage, line)
+            yield pa.RecordBatch.from_arrays([_signed(block.lines[block.fingerprints()])], ["h"])
+
+    return text.mapInArrow(run, "h long")
+
+
 def fingerprints(text: DataFrame, passage: int, line: int, block_bytes: int) -> DataFrame:
-    """Of (id, t): (h, a, b, id, th, at, lo, hi) for every fingerprint: its hash, the keys of its surroundings to the left and to the
-    right, the text it is in, its first word, and the words that windows around it can reach."""
+    """Of (id, t): (h, s, id, th, at, n) for every fingerprint: its hash, the key of its surroundings as far as windows around it can
+    reach, the text it is in, its first word, and how many words from there on they can reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raws, batch in _texts(batches, block_bytes, passage):
             block = Block(raws, passage, line)
             at = block.fingerprints()
-            of, lo, hi, a, b = block.surroundings(at)
+            of, n, s = block.surroundings(at)
             th = np.array([xxhash.xxh64_intdigest(r, 42) for r in raws], np.uint64)
-            words = [pa.array((x - block.base[of]).astype(np.int32)) for x in (at, lo, hi)]
+            words = [pa.array(x.astype(np.int32)) for x in (at - block.base[of], n)]
             ids = batch.column(0).take(pa.array(rows[of]))
-            yield pa.RecordBatch.from_arrays([_signed(block.lines[at]), _signed(a), _signed(b), ids, _signed(th[of]), *words], ["h", "a", "b", "id", "th", "at", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([_signed(block.lines[at]), _signed(s), ids, _signed(th[of]), *words], ["h", "s", "id", "th", "at", "n"])
 
-    return text.mapInArrow(run, f"h long, a long, b long, {PLACE}, at int, lo int, hi int")
+    return text.mapInArrow(run, f"h long, s long, {PLACE}, at int, n int")
 
 
 def window_keys(asked: DataFrame, passage: int, line: int, block_bytes: int) -> DataFrame:
@@ -123,12 +134,16 @@ def window_keys(asked: DataFrame, passage: int, line: int, block_bytes: int) ->
     return asked.mapInArrow(run, f"k1 long, k2 long, {PLACE}, at int")
 
 
-def _later(lo: str, hi: str, passage: int) -> tuple[Column, Column]:
-    """(whether a place isn't the first, the words of it that go): if it overlaps the first, only what lies beyond that."""
+def _later(places: DataFrame, lo: Column, hi: Column, passage: int) -> DataFrame:
+    """(id, th, lo, hi): the words that go, of all places but the first. If a place overlaps the first, only what lies beyond that.
+
+    Few rows: ranges of a text that end near each other are one, as each is longer than that, however often the text's row is repeated."""
     same = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th"))
     far = F.col("at") - F.col("first.at")
-    beyond = F.when(same & (far < passage), F.col(lo) + passage - far).otherwise(F.col(lo))
-    return ~same | (far != 0), F.struct(beyond.alias("lo"), F.col(hi).alias("hi"))
+    beyond = F.when(same & (far < passage), lo + passage - far).otherwise(lo)
+    ranges = places.where(~same | (far != 0)).select("id", "th", beyond.alias("lo"), hi.alias("hi"))
+    near = F.when(F.col("hi") - F.col("lo") >= passage - 1, F.floor(F.col("hi") / passage)).otherwise(-1 - F.col("lo"))
+    return ranges.groupBy("id", "th", near.alias("near")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("near")
 
 
 def repeated_runs(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -141,40 +156,46 @@ def repeated_runs(docs: DataFrame, passage: int = PASSAGE, line: int = LINE, id_
     2. Places with the same fingerprint and the same surroundings as far as a window reaches to both sides: the match grows to the
        whole of them in all places but the first. Each place meets the first one only, so a passage in a third of all texts costs a row a place.
     3. A fingerprint in several surroundings: of each, the first place's windows meet by their words, as far left and right as they agree.
-    Fingerprints overlap, so neighbouring matches make up the whole run."""
+    Fingerprints overlap, so neighbouring matches make up the whole run.
+
+    Each step ends in a durable frame, and the files of the steps before go first: shuffles, and frames that no later step reads.
+    Fingerprints are computed twice, for the count and for the join, rather than kept in between."""
     spark = docs.sparkSession
     small_batches(spark)
+
+    def step(df: DataFrame) -> DataFrame:
+        released(spark)
+        return durable(df)
+
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    path = fresh_path(spark, "fingerprints")
-    plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("h", "a", "b")}  # hashes: no two alike
-    fingerprints(text, passage, line, block_bytes).write.options(**plain).parquet(path)
-    found = spark.read.parquet(path)
-    often = durable(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
-    met = durable(found.join(often, "h"))
-    removed(spark, path)
-
-    place = F.struct("id", "th", "at", "lo", "hi")
-    classes = durable(met.groupBy("h", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
-    copies = met.join(classes.where("c > 1").select("h", "a", "b", "first"), ["h", "a", "b"])
-    is_later, words = _later("lo", "hi", passage)
-    copied = copies.where(is_later).select("id", "th", words.alias("r"))
-
-    several = durable(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
-    asked = classes.join(several, "h").groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_set("first.at").alias("ats"))
-    asked = with_lists(text, durable(asked), "id", "t", how="inner").select("id", "t", F.xxhash64("t").alias("th"), "ats")
-    windows = durable(window_keys(asked, passage, line, block_bytes).withColumn("hi", F.col("at") + (passage - 1)))
-    firsts = durable(windows.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "at")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
-    is_later, words = _later("at", "hi", passage)
-    grown = windows.join(firsts, ["k1", "k2"]).where(is_later).select("id", "th", words.alias("r"))
-
-    # A text's own ranges, however often its row is repeated; those that end near each other are one, as each is longer than that.
-    near = F.when(F.col("r.hi") - F.col("r.lo") >= passage - 1, F.floor(F.col("r.hi") / passage)).otherwise(-1 - F.col("r.lo"))
-    each = copied.unionByName(grown).select("id", "th", "r.lo", "r.hi", near.alias("near")).groupBy("id", "th", "near").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    often = step(line_hashes(text, passage, line, block_bytes).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"))
+    met = step(fingerprints(text, passage, line, block_bytes).join(often, "h"))
+    del often
+
+    place = F.struct("id", "th", "at")
+    classes = step(met.groupBy("h", "s").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")))
+    copies = met.join(classes.where("c > 1").drop("c"), ["h", "s"])
+    copied = step(_later(copies, F.greatest(F.col("at") - (passage - line), F.lit(0)), F.col("at") + F.col("n") - 1, passage))
+    del met, copies
+
+    several = step(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
+    asked = step(classes.join(several, "h").groupBy(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).agg(F.collect_set("first.at").alias("ats")))
+    del classes, several
+    asked = with_lists(text, asked, "id", "t", how="inner").select("id", "t", F.xxhash64("t").alias("th"), "ats")
+    windows = step(window_keys(asked, passage, line, block_bytes))
+    del asked
+    firsts = step(windows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"))
+    grown = step(_later(windows.join(firsts, ["k1", "k2"]), F.col("at"), F.col("at") + (passage - 1), passage))
+    del windows, firsts
+
     order = Window.partitionBy("id", "th").orderBy("lo", "hi")
     reached = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    each = each.withColumn("new", F.when(F.col("lo") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    each = copied.unionByName(grown).withColumn("new", F.when(F.col("lo") <= reached + 1, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
     joined = each.groupBy("id", "th", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("id", "th")
-    return durable(joined.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
+    out = step(joined.agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("ranges")))
+    del copied, grown, each, joined
+    released(spark)
+    return out
 
 
 def with_lists(docs: DataFrame, lists: DataFrame, id_col: str, text_col: str, how: str = "left") -> DataFrame:

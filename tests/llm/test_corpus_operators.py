@@ -1,16 +1,19 @@
 """Operators that look at the corpus as a whole: 4, 5, 7, 10."""
 
 import collections
+import itertools
 import math
 import random
 import re
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import _hashes, components, line_dedup, lm_scores, mixing, simhash
+from tessella.llm import _common, _hashes, components, line_dedup, lm_scores, mixing, simhash
 from tessella.llm import near_copies as near_copies_module
 
 rnd = random.Random(11)
@@ -137,6 +140,30 @@ def test_line_dedup_of_rows_that_share_an_id(docs_of):
     assert got == {(1, one.strip()): 2, (1, ""): 1, (None, two.strip()): 1, (None, ""): 1, (2, ""): 1}
 
 
+def test_line_dedup_keeps_no_files_of_finished_steps(spark, docs_of, monkeypatch):
+    """When a step begins, no shuffle is left but those of the step before, and of the durable frames only what a later step reads."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {int(x) for x in re.findall(r"shuffle_(\d+)_\d+", blocks.getAllFiles().mkString(" "))}
+    _common.shared_dir(spark)
+    frames = lambda: {x.name for x in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).iterdir()}
+    real, found, earlier, last = line_dedup.durable, [], frames(), [max(shuffles(), default=-1)]
+    monkeypatch.setattr(_common, "_kept", itertools.count(1))
+
+    def durable(df):
+        old = lambda: ({x for x in shuffles() if last[0] < x <= last[max(0, len(last) - 2)]}, frames() - earlier)
+        until = time.time() + 5  # files go in the background
+        while time.time() < until and (old()[0] or len(old()[1]) > 4):
+            time.sleep(0.1)
+        found.append(tuple(map(len, old())))
+        out = real(df)
+        last.append(max(shuffles(), default=-1))
+        return out
+
+    monkeypatch.setattr(line_dedup, "durable", durable)
+    line_dedup.repeated_runs(docs_of(list(dedup_cases()[0].items())))
+    assert len(found) > 5 and all(n == 0 and kept <= 4 for n, kept in found), found
+
+
 def test_planted_passages_are_caught_in_whole_documents(docs_of, texts):
     """Passages of 51 words and more put into documents of the table with foreign text before and behind: all of them go but the first."""
     r = random.Random(51)
